@@ -1,67 +1,63 @@
-"""Mixed-format date text to date, month first, by a fixed ladder of shapes."""
+"""Mixed-format date text to date, month first, by a fixed set of shapes."""
 
 import datetime as dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Month names in calendar order.
 _MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september",
     "october", "november", "december",
 )
-_MONTH = "(" + "|".join(f"{m}|{m[:3]}" if m != "may" else m for m in _MONTHS) + r"|sept)\.?"
-_DAY = r"([0-9]{1,2})(?:st|nd|rd|th)?"
-_YEAR = r"([0-9]{4})"
-_START, _END = r"(?i)(?<![\p{L}0-9])", r"(?![\p{L}0-9])"
-# A date anywhere in the text. The first shape found decides, valid or not.
-_ISO = rf"(?i)(?<![0-9]){_YEAR}-([0-9]{{1,2}})-([0-9]{{1,2}})(?![0-9])"
-_SLASHED = r"(?i)(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])"
-_PACKED = r"(?i)(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])"
-_MONTH_DAY_YEAR = rf"{_START}{_MONTH}\s+{_DAY},?\s+{_YEAR}{_END}"
-_DAY_MONTH_YEAR = rf"{_START}{_DAY}\s+{_MONTH},?\s+{_YEAR}{_END}"
-# A partial date must be the whole text; the missing parts come from ``as_of``.
-_MONTH_YEAR = rf"(?i)^\s*{_MONTH},?\s+{_YEAR}\s*\z"
-_YEAR_ONLY = rf"^\s*{_YEAR}\s*\z"
-_DAY_MONTH = rf"(?i)^\s*{_DAY}\s+{_MONTH}\s*\z"
-_MONTH_DAY = rf"(?i)^\s*{_MONTH}\s+{_DAY}\s*\z"
+_MONTH = "(" + "|".join(f"{m}|{m[:3]}" for m in _MONTHS) + r"|sept)\.?"
+_DAY, _YEAR = r"([0-9]{1,2})(?:st|nd|rd|th)?", "([0-9]{4})"
+# A full date anywhere in the text: the leftmost one decides, valid or not. In order:
+# 2024-3-5, 3/5/2024, March 5, 2024, 5 March 2024, 20240305.
+_FULL = "|".join(
+    (
+        r"(?<![0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])",
+        r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])",
+        rf"(?<![\p{{L}}0-9]){_MONTH}\s+{_DAY},?\s+{_YEAR}(?![\p{{L}}0-9])",
+        rf"(?<![\p{{L}}0-9]){_DAY}\s+{_MONTH},?\s+{_YEAR}(?![\p{{L}}0-9])",
+        r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])",
+    )
+)
+# A partial date must be the whole text: March 2024, 2024, 5 March, March 5.
+_PARTIAL = "|".join(
+    (rf"{_MONTH},?\s+{_YEAR}", _YEAR, rf"{_DAY}\s+{_MONTH}", rf"{_MONTH}\s+{_DAY}")
+)
+_SHAPES = rf"(?is)^(?:.*?(?:{_FULL}).*|\s*(?:{_PARTIAL})\s*)\z"
+# Year, month, day and, where month and day may be swapped, a non-empty mark. Groups of
+# shapes that did not match are empty.
+_PARTS = "~$1$6$9$12$13$17$18~$2$4$7$11$14$16$20$21~$3$5$8$10$15$19$22~$4".replace("~", r"\u0001")
 
 
 def parse_date_sql(x: str, as_of: str) -> str:
-    def part(shape: str, group: int) -> str:
-        return f"regexp_extract({x}, r'{shape}', {group})"
-
-    def month(shape: str, group: int) -> str:
-        short = "".join(m[:3] for m in _MONTHS)
-        at = f"instr('{short}', substr(lower({part(shape, group)}), 1, 3))"
-        return f"cast(({at} + 2) div 3 as string)"
-
-    def date(year: str, month: str, day: str) -> str:
-        return f"try_cast(concat_ws('-', nullif({year}, '0000'), {month}, {day}) as date)"
+    names = "".join(m[:3] for m in _MONTHS)
+    year = f"if(p[1] = '', year({as_of}), int(p[1]))"
+    month = (
+        f"case when p[2] = '' then month({as_of}) when p[2] rlike '^[0-9]' then int(p[2]) "
+        f"else int((instr('{names}', lower(left(p[2], 3))) + 2) div 3) end"
+    )
 
-    def clipped(year: str, month: str) -> str:
-        # The day of ``as_of``, or the last of the month where it is shorter.
-        first = date(year, month, "'1'")
-        return f"date_add({first}, least(day({as_of}), day(last_day({first}))) - 1)"
+    def date(month: str, day: str) -> str:
+        # Text to date, as ``make_date`` would fail on the 30th of February.
+        return f"try_cast(concat_ws('-', lpad(q.y, 4, '0'), {month}, {day}) as date)"
 
-    this_year, this_month = f"cast(year({as_of}) as string)", f"cast(month({as_of}) as string)"
-    s = _SLASHED
-    ladder = (
-        (_ISO, date(part(_ISO, 1), part(_ISO, 2), part(_ISO, 3))),
-        (s, f"coalesce({date(part(s, 3), part(s, 1), part(s, 2))}, "
-            f"{date(part(s, 3), part(s, 2), part(s, 1))})"),
-        (_MONTH_DAY_YEAR, date(part(_MONTH_DAY_YEAR, 3), month(_MONTH_DAY_YEAR, 1),
-                               part(_MONTH_DAY_YEAR, 2))),
-        (_DAY_MONTH_YEAR, date(part(_DAY_MONTH_YEAR, 3), month(_DAY_MONTH_YEAR, 2),
-                               part(_DAY_MONTH_YEAR, 1))),
-        (_PACKED, date(part(_PACKED, 1), part(_PACKED, 2), part(_PACKED, 3))),
-        (_MONTH_YEAR, clipped(part(_MONTH_YEAR, 2), month(_MONTH_YEAR, 1))),
-        (_YEAR_ONLY, clipped(part(_YEAR_ONLY, 1), this_month)),
-        (_DAY_MONTH, date(this_year, month(_DAY_MONTH, 2), part(_DAY_MONTH, 1))),
-        (_MONTH_DAY, date(this_year, month(_MONTH_DAY, 1), part(_MONTH_DAY, 2))),
+    # Without a day, that of ``as_of``, or the last of a shorter month.
+    first = date("q.m", "1")
+    clipped = f"date_add({first}, least(day({as_of}), day(last_day({first}))) - 1)"
+    swapped = f"case when p[4] <> '' then {date('int(p[3])', 'q.m')} end"
+    value = (
+        f"case when q.y = 0 then null when p[3] = '' then {clipped} "
+        f"else coalesce({date('q.m', 'int(p[3])')}, {swapped}) end"
     )
-    whens = " ".join(f"when {x} rlike r'{shape}' then {value}" for shape, value in ladder)
-    return f"case {whens} end"
+    fields = let("q", f"named_struct('y', {year}, 'm', {month})", value)
+    parts = rf"split(regexp_replace({x}, r'{_SHAPES}', '{_PARTS}'), '\u0001')"
+    return let("p", parts, f"case when size(p) = 5 then {fields} end")
 
 
 def parse_date(col: str, as_of: dt.date) -> Column:

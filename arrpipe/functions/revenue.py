@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Symbols in order of precedence, codes, and unit multipliers.
 _SYMBOLS = (("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"))
 _CODE = r"(?i)(USD|EUR|GBP|JPY)(?![\p{L}\p{N}_])"
@@ -12,14 +14,13 @@ _UNITS = {
     "k": "1e3", "thousand": "1e3",
 }
 _WS = r"[\s\x1c-\x1f\x85\p{Z}]"
+_BLANKS = (
+    r" \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+    r"\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _AMOUNT = rf"(?i)([0-9.]+){_WS}*(billion|million|thousand|bn|mm|b|m|k)?"
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """``body`` with ``name`` bound to ``value``, so that a long value is computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _without_currency(x: str) -> str:
     """Drop the first symbol kind present; with no symbol, the first code. Then drop all codes."""
     whens = " ".join(
@@ -35,23 +36,23 @@ def _amount(x: str) -> str:
     number = f"try_cast(regexp_extract(plain, r'{_AMOUNT}', 1) as double)"
     unit = f"lower(regexp_extract(plain, r'{_AMOUNT}', 2))"
     factor = f"coalesce(try_element_at(map({factors}), {unit}), 1D)"
-    return _let("plain", _without_currency(x), f"{number} * {factor}")
+    return let("plain", _without_currency(x), f"{number} * {factor}")
 
 
 def parse_revenue_sql(x: str) -> str:
-    text = rf"regexp_replace({x}, r'^{_WS}+|{_WS}+\z', '')"
+    text = f"trim(both '{_BLANKS}' from {x})"
     whens = " ".join(f"when contains(txt, '{s}') then '{code}'" for s, code in _SYMBOLS)
     currency = f"case {whens} else nullif(upper(regexp_extract(txt, r'{_CODE}', 1)), '') end"
     sides = (
         "case when contains(txt, ' - ') then array(substring_index(txt, ' - ', 1), "
         "substr(txt, instr(txt, ' - ') + 3)) else array(txt) end"
     )
-    parsed = _let(
+    parsed = let(
         "txt", text,
         f"named_struct('cur', {currency}, 'amts', transform({sides}, side -> {_amount('side')}))",
     )
     ok = "r.cur is not null and forall(r.amts, a -> a is not null)"
-    return _let(
+    return let(
         "r", parsed,
         f"named_struct('currency', case when {ok} then r.cur end, "
         f"'actual', case when {ok} and size(r.amts) = 1 then r.amts[0] end, "

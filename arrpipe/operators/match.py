@@ -30,19 +30,15 @@ def match_exact(articles: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
-def _features(df: DataFrame) -> DataFrame:
-    return df.where("company_name is not null").select(
-        "*",
-        N.normal("company_name").alias("normal"),
-        N.compact("company_name").alias("compact"),
-        N.aliases("company_name").alias("aliases"),
-    )
+def _named(df: DataFrame) -> DataFrame:
+    return df.where("company_name is not null")
 
 
-def _keys() -> Column:
+def _rule_keys(last: str) -> Column:
+    """Rows (rule, key) of one name; the key of rule 'last' is the column ``last``."""
+    fixed = {"normal": "normal", "compact": "compact", "last": last}
     tagged = F.concat(
-        F.array(F.struct(F.lit("normal").alias("rule"), F.col("normal").alias("key"))),
-        F.array(F.struct(F.lit("compact").alias("rule"), F.col("compact").alias("key"))),
+        F.array(*(F.struct(F.lit(r).alias("rule"), F.col(c).alias("key")) for r, c in fixed.items())),
         F.transform("aliases", lambda a: F.struct(F.lit("alias").alias("rule"), a.alias("key"))),
     )
     return F.inline(tagged)
@@ -80,100 +76,116 @@ def _pieces(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
     )
 
 
-def _lowest(df: DataFrame, *keys) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min("id").alias("id"))
-
-
-def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """(company_name, rule, company_id): per distinct name and rule, the lowest matching id.
+def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """(company_name, rule, id) by equal normal form, compact form or alias.
 
-    The rules are normal, compact, alias, contains (the name holds the company) and
-    contained (the company holds the name).
+    Rule 'last' holds the candidates of priority 0, whose normal form is the name's
+    last alias.
     """
-    left = _features(names.select("company_name").distinct())
-    right = _features(companies.select("id", "company_name"))
-
-    company_keys = _lowest(right.select("id", _keys()), "rule", "key")
-    by_key = left.select("company_name", _keys()).join(company_keys, ["rule", "key"])
-
-    long_enough = F.length("compact") >= MIN_CONTAINED
-    compact_companies = _lowest(right.where(long_enough), "compact")
-    compact_names = left.where(long_enough).select("company_name", "compact")
-    name_needles = compact_names.select(F.col("compact").alias("needle"))
-    company_needles = compact_companies.select(F.col("compact").alias("needle"))
-
-    inside_name = _pieces(
-        compact_names.withColumnRenamed("compact", "hay"), company_needles
-    ).join(compact_companies.withColumnRenamed("compact", "piece"), "piece")
-    inside_company = compact_names.withColumnRenamed("compact", "piece").join(
-        _lowest(_pieces(compact_companies.withColumnRenamed("compact", "hay"), name_needles),
-                "piece"),
-        "piece",
-    )
-    found = (
-        by_key.select("company_name", "rule", "id")
-        .unionByName(inside_name.select("company_name", F.lit("contains").alias("rule"), "id"))
-        .unionByName(inside_company.select("company_name", F.lit("contained").alias("rule"), "id"))
-    )
-    return found.groupBy("company_name", "rule").agg(F.min("id").alias("company_id"))
-
-
-def _preferred(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """(company_name, company_id): the lowest candidate whose normal form is the last alias."""
-    left = _features(names.select("company_name").distinct()).withColumn(
-        "last", N.last_alias("company_name")
-    )
-    right = _features(companies.select("id", "company_name"))
+    left, right = N.keys(names, "company_name"), N.keys(companies, "company_name")
     own_alias = F.array_contains("aliases", F.col("normal"))
-    by_normal = right.groupBy(F.col("normal").alias("last")).agg(
-        F.min("id").alias("any_id"), F.min(F.when(own_alias, F.col("id"))).alias("alias_id")
-    )
-    # A company whose normal form is ``last`` has this compact form.
-    last_compact = F.regexp_replace("last", "[^a-z0-9]", "")
+    company_keys = (
+        right.select("id", own_alias.alias("own"), _rule_keys("normal"))
+        .groupBy("rule", "key")
+        .agg(F.min("id").alias("any_id"), F.min(F.when(F.col("own"), F.col("id"))).alias("own_id"))
+    )
+    # A company whose normal form is ``last_alias`` has this compact form. It is a candidate
+    # if one of the following holds, or if its normal form is an alias of its own.
+    compact_last = F.regexp_replace("last_alias", "[^a-z0-9]", "")
     surely = (
-        (F.col("normal") == F.col("last"))
-        | (F.col("compact") == last_compact)
+        (F.col("normal") == F.col("last_alias"))
+        | (F.col("compact") == compact_last)
         | (
             (F.length("compact") >= MIN_CONTAINED)
-            & (F.length(last_compact) >= MIN_CONTAINED)
-            & (F.contains("compact", last_compact) | F.contains(last_compact, F.col("compact")))
+            & (F.length(compact_last) >= MIN_CONTAINED)
+            & (F.contains("compact", compact_last) | F.contains(compact_last, F.col("compact")))
+        )
+    )
+    is_last = F.col("rule") == "last"
+    equal = (
+        left.select("company_name", surely.alias("surely"), _rule_keys("last_alias"))
+        .join(company_keys, ["rule", "key"])
+        .select(
+            "company_name", "rule",
+            F.when(is_last & ~F.col("surely"), F.col("own_id"))
+            .otherwise(F.col("any_id")).alias("id"),
         )
+        .where("id is not null")
     )
-    direct = left.join(by_normal, "last").select(
-        "company_name",
-        F.when(surely, F.col("any_id")).otherwise(F.col("alias_id")).alias("id"),
+    # The rest: companies whose normal form is no alias of their own (a '/' inside, say
+    # "A/B") that share another alias with the name. Such a normal form always has a
+    # character outside [a-z0-9], or none at all.
+    odd_companies = (
+        right.where(~own_alias)
+        .select("id", F.col("normal").alias("last_alias"), F.explode("aliases").alias("key"))
+        .groupBy("last_alias", "key")
+        .agg(F.min("id").alias("id"))
     )
-    # Companies whose normal form is no alias of theirs (a '/' inside, say "A/B") can still
-    # be candidates by another alias. Their normal form always has a character outside
-    # [a-z0-9], or none at all.
-    odd_companies = _lowest(
-        right.where(~own_alias).select(
-            "id", F.col("normal").alias("last"), F.explode("aliases").alias("key")
-        ),
-        "last", "key",
+    odd = (
+        left.where((F.col("last_alias") != compact_last) | (F.col("last_alias") == ""))
+        .select("company_name", "last_alias", F.explode("aliases").alias("key"))
+        .join(odd_companies, ["last_alias", "key"])
+        .select("company_name", F.lit("last").alias("rule"), "id")
     )
-    odd_names = left.where((F.col("last") != last_compact) | (F.col("last") == "")).select(
-        "company_name", "last", F.explode("aliases").alias("key")
+    return equal.unionByName(odd)
+
+
+def _by_containment(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """(company_name, rule, id) where one compact form contains the other."""
+    long_enough = F.length("compact") >= MIN_CONTAINED
+    left = names.select("company_name", N.compact("company_name").alias("compact"))
+    left = left.where(long_enough)
+    right = (
+        companies.select("id", N.compact("company_name").alias("compact"))
+        .where(long_enough)
+        .groupBy("compact")
+        .agg(F.min("id").alias("id"))
+    )
+    pieces_of_names = _pieces(
+        left.withColumnRenamed("compact", "hay"), right.select(F.col("compact").alias("needle"))
+    )
+    pieces_of_companies = (
+        _pieces(
+            right.withColumnRenamed("compact", "hay"), left.select(F.col("compact").alias("needle"))
+        )
+        .groupBy("piece")
+        .agg(F.min("id").alias("id"))
     )
-    odd = odd_names.join(odd_companies, ["last", "key"]).select("company_name", "id")
-    return _lowest(direct.unionByName(odd).where("id is not null"), "company_name").select(
-        "company_name", F.col("id").alias("company_id")
+    contains = pieces_of_names.join(right.withColumnRenamed("compact", "piece"), "piece")
+    contained = left.withColumnRenamed("compact", "piece").join(pieces_of_companies, "piece")
+    return contains.select("company_name", F.lit("contains").alias("rule"), "id").unionByName(
+        contained.select("company_name", F.lit("contained").alias("rule"), "id")
+    )
+
+
+def _found(names: DataFrame, companies: DataFrame) -> DataFrame:
+    distinct = _named(names.select("company_name")).distinct()
+    listed = _named(companies.select("id", "company_name"))
+    return _by_key(distinct, listed).unionByName(_by_containment(distinct, listed))
+
+
+def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """(company_name, rule, company_id): per distinct name and rule, the lowest matching id.
+
+    The rules are normal, compact, alias, contains (the name holds the company) and
+    contained (the company holds the name).
+    """
+    return (
+        _found(names, companies)
+        .where("rule <> 'last'")
+        .groupBy("company_name", "rule")
+        .agg(F.min("id").alias("company_id"))
     )
 
 
 def best_by_name(names: DataFrame, companies: DataFrame) -> DataFrame:
     """(company_name, priority, company_id): the best candidate of each distinct name."""
-    ranked = (
-        candidates(names, companies)
-        .select("company_name", F.struct(F.lit(1).alias("priority"), "company_id").alias("best"))
-        .unionByName(
-            _preferred(names, companies).select(
-                "company_name", F.struct(F.lit(0).alias("priority"), "company_id").alias("best")
-            )
-        )
-    )
-    return ranked.groupBy("company_name").agg(F.min("best").alias("best")).select(
-        "company_name", "best.*"
+    priority = F.when(F.col("rule") == "last", 0).otherwise(1)
+    return (
+        _found(names, companies)
+        .groupBy("company_name")
+        .agg(F.min(F.struct(priority.alias("priority"), F.col("id").alias("company_id"))).alias("best"))
+        .select("company_name", "best.*")
     )
 
 

@@ -19,15 +19,16 @@ def run(
     output: str | None = None,
     as_of: dt.datetime | None = None,
     csv_options: dict | None = None,
+    suffixes: tuple[str, str] = ("csv", "json"),
 ) -> Tables:
     """Run bronze, silver and gold, publish the results together, then export.
 
     ``as_of`` stands for "now" wherever the batch needs it. The session time zone should
-    be UTC.
+    be UTC. ``suffixes`` are those of article and company files.
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     tables = Tables(spark, warehouse)
-    run_bronze(spark, tables, source, as_of, csv_options)
+    run_bronze(spark, tables, source, as_of, csv_options, suffixes)
     run_silver(spark, tables, as_of)
     run_gold(tables, as_of)
     tables.publish(as_of)

@@ -57,12 +57,16 @@ def gate_companies(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, Da
 
 
 def run_bronze(
-    spark: SparkSession, tables: Tables, source: str, as_of: dt.datetime, options: dict | None = None
+    spark: SparkSession,
+    tables: Tables,
+    source: str,
+    as_of: dt.datetime,
+    options: dict | None = None,
+    suffixes: tuple[str, str] = ("csv", "json"),
 ) -> None:
     """Load the files below ``source`` that no earlier run has loaded or kept out."""
     log = tables.appended("bronze_file_log")
-    csvs = ledger.pending(landing.discover(spark, source, "csv"), log)
-    jsons = ledger.pending(landing.discover(spark, source, "json"), log)
+    csvs, jsons = (ledger.pending(landing.discover(spark, source, s), log) for s in suffixes)
     articles = tables.appended("bronze_articles")
     batch_id = articles.agg((F.coalesce(F.max("batch_id"), F.lit(0)) + 1).alias("b")).first()["b"]
     now = F.lit(as_of).cast("timestamp")

@@ -120,14 +120,19 @@ def read_csv(
     return rows
 
 
-def read_json_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, entries): each file's single object as a map from key to JSON text.
+def parse_objects(texts: DataFrame) -> DataFrame:
+    """(path, entries, is_json) of (path, value): the object in ``value`` as key to JSON text.
 
-    ``entries`` is NULL for invalid JSON; ``is_json`` tells valid JSON of another kind apart.
-    A file is one JSON value and therefore one row.
+    ``entries`` is NULL where there is none; ``is_json`` tells other valid JSON apart.
     """
-    return spark.read.text(_literal(paths), wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"),
+    return texts.select(
+        "path",
         F.from_json("value", "map<string,string>").alias("entries"),
         F.try_parse_json("value").isNotNull().alias("is_json"),
     )
+
+
+def read_json_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``parse_objects`` of files; a file is one JSON value and therefore one row."""
+    texts = spark.read.text(_literal(paths), wholetext=True)
+    return parse_objects(texts.select(F.col("_metadata.file_path").alias("path"), "value"))

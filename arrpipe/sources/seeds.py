@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import SCHEMAS
+from ..schemas import SCHEMAS, conform
 
 # Fixed values: (id, name, group).
 CATEGORIES = [
@@ -54,17 +54,23 @@ CURRENCIES = [
 DATE_SPINE = (dt.date(2020, 1, 1), dt.date(2026, 12, 31))
 
 
+def _inline(spark: SparkSession, rows: list[tuple], table: str) -> DataFrame:
+    """Rows as plan constants: unlike rows from Python they have a known, small size."""
+    names = SCHEMAS[table].names
+    constants = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
+    return conform(spark.range(1).select(F.inline(F.array(*constants))), table)
+
+
 def categories(spark: SparkSession, as_of: dt.datetime) -> DataFrame:
-    rows = [(*row, as_of) for row in CATEGORIES]
-    return spark.createDataFrame(rows, SCHEMAS["dim_category"])
+    return _inline(spark, [(*row, as_of) for row in CATEGORIES], "dim_category")
 
 
 def revenue_ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REVENUE_RANGES, SCHEMAS["dim_revenue_range"])
+    return _inline(spark, REVENUE_RANGES, "dim_revenue_range")
 
 
 def currencies(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CURRENCIES, SCHEMAS["dim_currency_conversion"])
+    return _inline(spark, CURRENCIES, "dim_currency_conversion")
 
 
 def dates(spark: SparkSession, spine: tuple[dt.date, dt.date] = DATE_SPINE) -> DataFrame:
