@@ -243,7 +243,7 @@ ORACLES: dict[str, str] = {
       from articles group by all""",
     "file_ledger_skip": f"""with {_INPUTS}, f as (select author||'.csv' file_name, category,
         timestamp '1970-01-01' + to_days(cast(k as integer)) file_timestamp from articles)
-      select file_name, file_timestamp from f where not exists (select 1 from f g
+      select file_name, cast(file_timestamp as date) as day from f where not exists (select 1 from f g
         where g.category in ('AI/ML', 'Cloud') and g.file_name = f.file_name
           and g.file_timestamp = f.file_timestamp)""",
     "file_log": f"""with {_INPUTS} select

@@ -177,13 +177,12 @@ def file_ledger_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily author files not loaded before; the same name with a newer time counts as new."""
     delivered = articles(spark, sf_dir).select(
         F.concat("author", F.lit(".csv")).alias("file_name"),
-        (F.timestamp_seconds(F.lit(0)) + F.expr("make_dt_interval(cast(k as int))")).alias(
-            "file_timestamp"
-        ),
+        F.timestamp_seconds(F.col("k") * 86400).alias("file_timestamp"),
         "category",
     )
     loaded = delivered.where("category in ('AI/ML', 'Cloud')")
-    return ledger.pending(delivered.drop("category"), loaded)
+    pending = ledger.pending(delivered.drop("category"), loaded)
+    return pending.select("file_name", F.to_date("file_timestamp").alias("day"))
 
 
 @_query

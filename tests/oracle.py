@@ -12,6 +12,11 @@ TABLES = (
     "pages benchmark labels conversations"
 ).split()
 
+_TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "date": "DATE",
+}
+
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -39,11 +44,14 @@ def differences(spark_df, connection, sql: str) -> str | None:
     columns = [d[0] for d in result.description]
     if sorted(columns) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(columns)}"
-    types = dict(zip(columns, (str(d[1]) for d in result.description)))
+    types = {d[0]: str(d[1]) for d in result.description}
+    other_types = {f.name: _TYPES[f.dataType.simpleString()] for f in spark_df.schema.fields}
+    if types != other_types:
+        return f"types {sorted(set(other_types.items()) ^ set(types.items()))}"
     expected = _sorted(columns, result.fetchall())
     actual = _sorted(spark_df.columns, spark_df.collect())
     if expected == actual:
         return None
     only_sql = [r for r in expected if r not in set(actual)][:3]
     only_spark = [r for r in actual if r not in set(expected)][:3]
-    return f"rows {len(actual)} != {len(expected)}; spark {only_spark}; sql {only_sql}; {types}"
+    return f"rows {len(actual)} != {len(expected)}; spark {only_spark}; sql {only_sql}"
