@@ -79,25 +79,39 @@ def max_id(df: DataFrame, column: str) -> Column:
     return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("id")).scalar()
 
 
+def _key_sums(df: DataFrame) -> DataFrame:
+    """Per batch, a fingerprint of its article ids: count, xor and sum of hashes."""
+    key = F.xxhash64("article_id")
+    return df.where("article_id is not null").groupBy("batch_id").agg(
+        F.count("*").alias("n"),
+        F.bit_xor(key).alias("x"),
+        F.sum(key.bitwiseAND(0xFFFFFF)).alias("s"),
+    )
+
+
 def new_observations(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     """Bronze rows whose (article_id, batch_id) silver lacks; a NULL never counts as present.
 
-    A batch silver has never seen is new as a whole and skips the join. For the
-    others only the two key columns are compared, and the rows are then fetched by
-    the keys found missing.
+    Nearly always that is the newest batch and the rows without an id, which plain
+    filters find: the files of old batches are then skipped by their statistics. An old
+    batch can hold more only if its ids and silver's differ, which one aggregate over
+    narrow columns tells; just those batches are compared by key.
     """
-    seen = silver.select(F.col("insert_batch_id").alias("batch_id")).distinct()
-    fresh = bronze.join(seen, "batch_id", "left_anti")
+    newest = silver.agg(F.coalesce(F.max("insert_batch_id"), F.lit(0)).alias("b")).first()["b"]
+    old = bronze.where(F.col("batch_id") <= newest)
     present = silver.select("article_id", F.col("insert_batch_id").alias("batch_id"))
-    keys = bronze.join(seen, "batch_id", "left_semi").select("article_id", "batch_id").distinct()
-    missing = keys.join(present, ["article_id", "batch_id"], "left_anti")
-    again = bronze.alias("b").join(
-        missing.alias("m"),
-        F.col("b.article_id").eqNullSafe(F.col("m.article_id"))
-        & (F.col("b.batch_id") == F.col("m.batch_id")),
-        "left_semi",
+    differing = (
+        _key_sums(old).join(_key_sums(present), ["batch_id", "n", "x", "s"], "left_anti")
+        .select("batch_id")
+    )
+    missing = old.join(differing, "batch_id", "left_semi").where("article_id is not null").join(
+        present, ["article_id", "batch_id"], "left_anti"
+    )
+    return (
+        bronze.where(F.col("batch_id") > newest)
+        .unionByName(old.where("article_id is null"))
+        .unionByName(missing.select(bronze.columns))
     )
-    return fresh.select(bronze.columns).unionByName(again.select(bronze.columns))
 
 
 def expire(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:

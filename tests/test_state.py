@@ -61,6 +61,9 @@ def test_new_observations(spark):
     assert rows_of(out, "k") == [(1,), (2,), (3,), (4,), (5,)]
     everything = bronze.withColumnRenamed("batch_id", "insert_batch_id")
     assert rows_of(state.new_observations(bronze, everything), "k") == [(2,), (4,)]
+    # Batch 2 is the newest; a gap in an old batch is found by its ids.
+    gap = everything.where("k <> 1 and k <> 5")
+    assert rows_of(state.new_observations(bronze, gap), "k") == [(1,), (2,), (4,), (5,)]
     none = everything.limit(0)
     assert state.new_observations(bronze, none).count() == 6
 
