@@ -34,19 +34,21 @@ def _scratch(spark: SparkSession) -> str:
 # -- shared steps ----------------------------------------------------------------------
 
 
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _observations(spark: SparkSession, rows: DataFrame, firms: DataFrame) -> DataFrame:
     """Typed, exactly matched, converted and bucketed articles, all current; keyed by k."""
-    typed = marts.observations(
-        articles(spark, sf_dir), companies(spark, sf_dir), seeds.categories(spark, AS_OF), AS_OF
-    ).withColumn("observation_id", F.col("k").cast("int"))
-    rows = conform(typed, "silver_observations")
-    return marts.revalue(rows, seeds.currencies(spark), seeds.revenue_ranges(spark), AS_OF)
+    typed = marts.observations(rows, firms, seeds.categories(spark, AS_OF), AS_OF)
+    typed = conform(
+        typed.withColumn("observation_id", F.col("k").cast("int")), "silver_observations"
+    )
+    return marts.revalue(typed, seeds.currencies(spark), seeds.revenue_ranges(spark), AS_OF)
 
 
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    firms = companies(spark, sf_dir)
     return marts.fact_articles(
-        _observations(spark, sf_dir), companies(spark, sf_dir), seeds.categories(spark, AS_OF),
-        seeds.revenue_ranges(spark), seeds.dates(spark), AS_OF.date(),
+        _observations(spark, articles(spark, sf_dir), firms), firms,
+        seeds.categories(spark, AS_OF), seeds.revenue_ranges(spark), seeds.dates(spark),
+        AS_OF.date(),
     )
 
 
@@ -255,7 +257,8 @@ def backfill_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded revenue ranges with the articles in each."""
     dim = seeds.seed_if_empty(empty(spark, "dim_revenue_range"), seeds.revenue_ranges(spark))
-    used = _observations(spark, sf_dir).groupBy(F.col("revenue_range_id").alias("range_id")).count()
+    rows = _observations(spark, articles(spark, sf_dir), companies(spark, sf_dir))
+    used = rows.groupBy(F.col("revenue_range_id").alias("range_id")).count()
     return dim.join(used, "range_id", "left").select(
         *dim.columns, F.coalesce("count", F.lit(0)).alias("n_articles")
     )
@@ -457,7 +460,8 @@ def usd_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def revenue_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _observations(spark, sf_dir).select(
+    rows = _observations(spark, articles(spark, sf_dir), companies(spark, sf_dir))
+    return rows.select(
         F.col("observation_id").alias("k"), *_VALUE_COLUMNS, "revenue_range_id"
     )
 
@@ -490,17 +494,18 @@ def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.best_by_article(articles(spark, sf_dir), companies(spark, sf_dir))
 
 
-def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observations(spark, sf_dir)
-    unmatched = rows.where("company_id is null").select("article_id").distinct()
-    names = articles(spark, sf_dir).join(unmatched, "article_id", "left_semi")
-    return match.apply_best(rows, match.best_by_article(names, companies(spark, sf_dir)))
-
-
 @_query
 def match_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir).select(
-        F.col("observation_id").alias("k"), "company_id", "company_match_kind", "company_name_raw"
+    """Rows without an exact match take the best candidate of their article."""
+    named, firms = articles(spark, sf_dir), companies(spark, sf_dir)
+    rows = match.match_exact(named, firms).select(
+        "k", "article_id", "company_id", "company_match_kind",
+        F.col("company_name").alias("company_name_raw"), F.lit(True).alias("is_current"),
+    )
+    unmatched = rows.where("company_id is null").select("article_id").distinct()
+    best = match.best_by_article(named.join(unmatched, "article_id", "left_semi"), firms)
+    return match.apply_best(rows, best).select(
+        F.col("k").cast("int").alias("k"), "company_id", "company_match_kind", "company_name_raw"
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The input columns and fields every file must have.
@@ -77,9 +76,11 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns of ``df`` in the declared order; a column it lacks is added as NULL."""
-    return df.select(
+    present = set(df.columns)
+    return df.selectExpr(
         *(
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({f.name if f.name in present else 'null'} as {f.dataType.simpleString()}) "
+            f"as {f.name}"
             for f in SCHEMAS[table].fields
         )
     )

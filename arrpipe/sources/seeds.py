@@ -54,11 +54,21 @@ CURRENCIES = [
 DATE_SPINE = (dt.date(2020, 1, 1), dt.date(2026, 12, 31))
 
 
+def _literal(value) -> str:
+    if value is None or isinstance(value, (bool, int)):
+        return "null" if value is None else str(value)
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, dt.datetime):
+        return f"timestamp'{value.isoformat()}'"
+    return "'" + value.replace("'", "''") + "'"
+
+
 def _inline(spark: SparkSession, rows: list[tuple], table: str) -> DataFrame:
-    """Rows as plan constants: unlike rows from Python they have a known, small size."""
-    names = SCHEMAS[table].names
-    constants = [F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows]
-    return conform(spark.range(1).select(F.inline(F.array(*constants))), table)
+    """Rows as an inline table: unlike rows from Python it has a known, small size."""
+    values = ", ".join(f"({', '.join(map(_literal, row))})" for row in rows)
+    names = ", ".join(SCHEMAS[table].names)
+    return conform(spark.sql(f"select * from values {values} as t({names})"), table)
 
 
 def categories(spark: SparkSession, as_of: dt.datetime) -> DataFrame:
