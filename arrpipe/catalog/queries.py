@@ -14,6 +14,7 @@ from ..operators import gates, ledger, marts, match, money, state
 from ..plans import batch, bronze
 from ..schemas import ARTICLE_COLUMNS, COMPANY_FIELDS, conform, empty
 from ..sources import export, landing, seeds
+from ..sources.staging import checkpoint_dir
 from .inputs import AS_OF, articles, companies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,7 @@ def _query(function: Query) -> Query:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{state.checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 # -- shared steps ----------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..sources.staging import stage
 
 MIN_CONTAINED = 4
 _MASKED = 63  # lengths from MIN_CONTAINED up that fit one 64-bit mask
@@ -82,7 +83,7 @@ def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
     Rule 'last' holds the candidates of priority 0, whose normal form is the name's
     last alias.
     """
-    left, right = N.keys(names, "company_name"), N.keys(companies, "company_name")
+    left, right = names, N.keys(companies, "company_name")
     own_alias = F.array_contains("aliases", F.col("normal"))
     company_keys = (
         right.select("id", own_alias.alias("own"), _rule_keys("normal"))
@@ -133,8 +134,7 @@ def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
 def _by_containment(names: DataFrame, companies: DataFrame) -> DataFrame:
     """(company_name, rule, id) where one compact form contains the other."""
     long_enough = F.length("compact") >= MIN_CONTAINED
-    left = names.select("company_name", N.compact("company_name").alias("compact"))
-    left = left.where(long_enough)
+    left = names.where(long_enough).select("company_name", "compact")
     right = (
         companies.select("id", N.compact("company_name").alias("compact"))
         .where(long_enough)
@@ -159,9 +159,11 @@ def _by_containment(names: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def _found(names: DataFrame, companies: DataFrame) -> DataFrame:
+    # Five branches start from the distinct names and their keys: work those out once.
     distinct = _named(names.select("company_name")).distinct()
+    keyed = stage(N.keys(distinct, "company_name"), "names")
     listed = _named(companies.select("id", "company_name"))
-    return _by_key(distinct, listed).unionByName(_by_containment(distinct, listed))
+    return _by_key(keyed, listed).unionByName(_by_containment(keyed, listed))
 
 
 def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
@@ -191,9 +193,8 @@ def best_by_name(names: DataFrame, companies: DataFrame) -> DataFrame:
 
 def best_by_article(article_names: DataFrame, companies: DataFrame) -> DataFrame:
     """(article_id, priority, company_id): the best candidate over all names of an article."""
-    pairs = article_names.where("article_id is not null and company_name is not null").select(
-        "article_id", "company_name"
-    )
+    named = article_names.where("article_id is not null and company_name is not null")
+    pairs = stage(named.select("article_id", "company_name"), "article-names")
     best = best_by_name(pairs, companies)
     return (
         pairs.join(best, "company_name")

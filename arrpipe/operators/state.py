@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COMPANY_FIELDS, conform
+from ..sources.staging import stage
 from .match import fill_company
 
 _INDEX_BITS = 33  # row index within a partition, as in monotonically_increasing_id
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and scratch tables, from the session.
-
-    Only where the session names none, as in a plain local test, is one made.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="arrpipe-"))
-    return context.getCheckpointDir()
-
-
 def next_batch_id(df: DataFrame, *columns: str) -> Column:
     """1 + the greatest batch id in ``columns``, 1 for no rows; a scalar subquery."""
     ids = [F.coalesce(F.col(c), F.lit(0)) for c in columns]
@@ -47,19 +34,16 @@ def dense_ids(
     executor lost in between changes nothing. What remains is a running sum over one
     count per partition.
     """
-    spark = rows.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in order]
     keys.append(F.col("_spread").asc())
-    path = f"{checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
-    (
+    placed = (
         rows.withColumn("_spread", F.xxhash64(*(spread or rows.columns)))
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .drop("_spread")
         .withColumn("_at", F.monotonically_increasing_id())
-        .write.parquet(path)
     )
-    fixed = spark.read.parquet(path)
+    fixed = stage(placed, "ids")
     partition = F.shiftrightunsigned("_at", _INDEX_BITS)
     counts = fixed.groupBy(partition.alias("_part")).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

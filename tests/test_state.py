@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arrpipe.operators import ledger, match, state
 from arrpipe.schemas import empty
 from arrpipe.sources import seeds
+from arrpipe.sources.staging import checkpoint_dir
 
 AS_OF = dt.datetime(2026, 1, 1)
 
@@ -163,4 +164,4 @@ def test_repair(spark):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.sparkContext.getCheckpointDir()
-    assert state.checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
+    assert checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
