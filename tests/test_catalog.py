@@ -3,7 +3,8 @@
 import oracle
 import pytest
 
-import __spark_entry__ as entry
+from arrpipe.catalog.oracles import ORACLES
+from arrpipe.catalog.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,10 +15,10 @@ def connection():
 
 
 def test_every_query_has_a_twin():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, connection, name):
-    df = entry.queries()[name](spark, SF_DIR)
-    assert oracle.differences(df, connection, entry.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, SF_DIR)
+    assert oracle.differences(df, connection, ORACLES[name]) is None
