@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import gc
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
 
 __all__ = [
-    "LAST_ID", "LOWER", "TOKEN", "TOKENS", "WORD", "WORDS", "crc_of_id", "id_key", "mix64", "pieces",
-    "release", "stage", "strings", "table", "text_tag", "total_bytes",
+    "LAST_ID", "LOWER", "TOKEN", "TOKENS", "WORD", "WORDS", "binary_column", "crc_of_id", "id_key", "mix64",
+    "pack_columns", "pieces", "release", "stage", "table", "text_tag", "total_bytes", "unpack_columns",
 ]
 
 
@@ -66,11 +68,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def strings(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer referenced."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Arrays of numbers as one compressed value; equal bytes of a column's numbers stand together."""
+    head, body = [struct.pack("<B", len(columns))], []
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        head.append(struct.pack("<3sI", c.dtype.newbyteorder("<").str[-3:].encode(), len(c)))
+        body.append(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+
+
+def unpack_columns(value: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(value)
+    at, columns = 1 + 7 * raw[0], []
+    for i in range(raw[0]):
+        code, n = struct.unpack_from("<3sI", raw, 1 + 7 * i)
+        kind = np.dtype(code.decode())
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        columns.append(np.ascontiguousarray(planes.T).view(kind).reshape(n) if n else np.zeros(0, kind))
+        at += n * kind.itemsize
+    return columns
+
+
+def binary_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where its values start and end."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets

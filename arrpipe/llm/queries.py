@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mix, neardup, quality, shards, topk
+from . import chat, decontaminate, lines, mix, neardup, quality, shards, suffixes, topk
 from .common import LAST_ID, crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(crc_of_id() % 3 == 1, F.lit(False)).alias("held_out")
     return quality.scored(docs.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
