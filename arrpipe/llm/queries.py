@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lines, mix, neardup, quality, shards, suffixes, topk
+from . import chat, decontaminate, katz, lines, mix, neardup, quality, shards, suffixes, topk
 from .common import LAST_ID, crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc") != LAST_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed",
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_query
+def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
