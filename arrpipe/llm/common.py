@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import re
 import struct
 
 import numpy as np
@@ -19,18 +18,23 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: White-space separated tokens of the mixing and language-model operators.
 TOKEN = r"[^\x20\x09-\x0D]+"
 
-WORDS = re.compile(WORD)
-TOKENS = re.compile(TOKEN)
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_WORD_BYTES = bytes(
+    b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
 #: Stands for a null document id where rows are ordered: after all others.
 LAST_ID = 2**63 - 1
 
 __all__ = [
-    "LAST_ID", "LOWER", "TOKEN", "TOKENS", "WORD", "WORDS", "binary_column", "crc_of_id", "id_key", "mix64",
-    "pack_columns", "pieces", "release", "stage", "table", "text_tag", "total_bytes", "unpack_columns",
+    "LAST_ID", "TOKEN", "WORD", "binary_column", "crc_of_id", "id_key", "mix64",
+    "pack_columns", "pieces", "release", "stage", "table", "text_tag", "total_bytes", "unpack_columns", "words_of",
 ]
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words ``WORD`` of a text with A-Z lowered, as UTF-8: all other ASCII is made blank, and blanks cut."""
+    return text.encode().translate(_WORD_BYTES).split() if text else []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, WORDS, stage, text_tag
+from .common import stage, text_tag, words_of
 
 WINDOW = 13
 SHINGLE = 5
@@ -48,12 +48,12 @@ _WINDOWS = T.StructType(
 )
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.translate(LOWER)) if text else []
+def _text(words: list[bytes]) -> str:
+    return b" ".join(words).decode()
 
 
-def _shingles(words: list[str], length: int) -> list[str]:
-    return [" ".join(words[i : i + length]) for i in range(len(words) - length + 1)]
+def _shingles(words: list[bytes], length: int) -> list[str]:
+    return [_text(words[i : i + length]) for i in range(len(words) - length + 1)]
 
 
 def _item_windows(window: int, shingle: int):
@@ -68,7 +68,7 @@ def _item_windows(window: int, shingle: int):
                     tokens = _shingles(part, min(shingle, size))
                     out.append(
                         {
-                            "item_id": item or "", "window": " ".join(part), "length": size,
+                            "item_id": item or "", "window": _text(part), "length": size,
                             "tokens": [{"token": t, "at": k} for k, t in enumerate(tokens)],
                         }
                     )
@@ -100,12 +100,11 @@ class _Vocabulary:
     """
 
     def __init__(self, tokens: list[str]) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         by_length: dict[int, list[list[int]]] = {}
         for token in tokens:
-            ids = [self.words.setdefault(w, len(self.words)) for w in token.split(" ")]
+            ids = [self.words.setdefault(w, len(self.words)) for w in token.encode().split(b" ")]
             by_length.setdefault(len(ids), []).append(ids)
-        self.names = list(self.words)
         self.tables = []
         for length, rows in sorted(by_length.items()):
             table = np.array(rows, dtype=np.int64)
@@ -120,18 +119,18 @@ class _Vocabulary:
             code = code * np.uint64(0x9E3779B97F4A7C15) + rows[:, j].astype(np.uint64) + np.uint64(1)
         return code
 
-    def find(self, words: list[str]) -> list[tuple[str, int]]:
+    def find(self, words: list[bytes]) -> list[tuple[str, int]]:
         get = self.words.get
         ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        known = np.concatenate([[0], np.cumsum(ids >= 0)])
         found = []
         for length, codes, table in self.tables:
             if len(ids) < length:
                 continue
-            rows = np.lib.stride_tricks.sliding_window_view(ids, length)
-            at = np.flatnonzero((rows >= 0).all(axis=1))
+            at = np.flatnonzero(known[length:] - known[:-length] == length)
             if not len(at):
                 continue
-            code = self._codes(rows[at], length)
+            code = self._codes(ids[at[:, None] + np.arange(length)], length)
             place = np.searchsorted(codes, code)
             last = len(codes) - 1
             match = codes[np.minimum(place, last)] == code
@@ -139,7 +138,7 @@ class _Vocabulary:
                 wanted = codes[p]
                 while p <= last and codes[p] == wanted:
                     if (table[p] == ids[i : i + length]).all():
-                        found.append((" ".join(words[i : i + length]), i))
+                        found.append((_text(words[i : i + length]), i))
                         break
                     p += 1
         return found

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORDS, id_key, mix64, stage, text_tag
+from .common import id_key, mix64, stage, text_tag, words_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -53,17 +53,32 @@ _SIGNED_DDL = "id long, tag long, same binary, n double, bands array<long>"
 
 def elements(text: str | None, shingle: int = SHINGLE, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Sorted 64-bit shingle hashes and their weights."""
-    words = WORDS.findall(text.translate(LOWER)) if text else []
+    words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0)
-    digest = xxhash.xxh3_64_intdigest
-    one = np.fromiter((digest(w) for w in words), dtype=np.uint64, count=len(words))
+    if len(_HASHES) > _CACHE:
+        _HASHES.clear()
+    known = _HASHES.get
+    one = np.fromiter((known(w) or _hash(w) for w in words), dtype=np.uint64, count=len(words))
     size = min(shingle, len(one))
     code = np.full(len(one) - size + 1, size, dtype=np.uint64)
     for j in range(size):
         code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + one[j : len(one) - size + 1 + j])
-    found, n = np.unique(code, return_counts=True)
-    return found, n.astype(float) if counts else np.ones(len(found))
+    code.sort()
+    first = np.concatenate([[True], code[1:] != code[:-1]])
+    found = code[first]
+    if not counts:
+        return found, np.ones(len(found))
+    return found, np.diff(np.append(np.flatnonzero(first), len(code))).astype(float)
+
+
+_HASHES: dict[bytes, int] = {}  # of recently seen words
+_CACHE = 500_000
+
+
+def _hash(word: bytes) -> int:
+    found = _HASHES[word] = xxhash.xxh3_64_intdigest(word)
+    return found
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -73,45 +88,47 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int = COORDINATES) -> np.ndarray:
     """The earliest dart of each coordinate, for every (nonempty) weighted set, as 64-bit names."""
     n = len(sets)
-    names = np.zeros((n, k), dtype=np.uint64)
-    best = np.full((n, k), np.inf)
+    names, best = np.zeros(n * k, dtype=np.uint64), np.full(n * k, np.inf)
     limit = np.array([k * (math.log(k) + 2) / w.sum() for _, w in sets])
     pending = np.arange(n)
     while len(pending):
         # The unit cells of all elements of the pending sets.
-        whole = [np.ceil(sets[i][1]).astype(np.int64) for i in pending]
-        owner = np.repeat(pending, [c.sum() for c in whole])
-        cells = np.concatenate(whole)
-        element = np.repeat(np.concatenate([sets[i][0] for i in pending]), cells)
-        weight = np.repeat(np.concatenate([sets[i][1] for i in pending]), cells)
-        cell = np.arange(len(element)) - np.repeat(np.cumsum(cells) - cells, cells)
-        state = mix64(element + (cell.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-        height = weight - cell  # the part of the cell below the element's weight
+        owner = np.repeat(pending, [len(sets[i][0]) for i in pending])
+        element = np.concatenate([sets[i][0] for i in pending])
+        height = np.concatenate([sets[i][1] for i in pending])  # the part of a cell below the element's weight
+        cell = np.zeros(len(element), np.uint64)
+        if (height > 1).any():
+            cells = np.ceil(height).astype(np.int64)
+            inner = np.arange(cells.sum()) - np.repeat(np.cumsum(cells) - cells, cells)
+            owner, element, height = (np.repeat(x, cells) for x in (owner, element, height))
+            height, cell = height - inner, inner.astype(np.uint64)
+        state = mix64(element + (cell + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        whole = bool((height >= 1).all())
+        end = limit[owner]
         rank = np.zeros(len(element))
-        found: list[tuple] = []
+        slots, ranks, darts = [], [], []
         while len(state):
             state = mix64(state + np.uint64(0x9E3779B97F4A7C15))
             rank = rank - np.log(_unit(state))
-            alive = rank <= limit[owner]
-            state, rank, owner, height = state[alive], rank[alive], owner[alive], height[alive]
-            if not len(state):
-                break
-            name = mix64(state ^ np.uint64(0xA0761D6478BD642F))
-            inside = _unit(mix64(name ^ np.uint64(0xE7037ED1A0B428DB))) < height
-            if inside.any():
-                found.append((owner[inside], (name[inside] % np.uint64(k)).astype(np.int64), rank[inside], name[inside]))
-        for i in pending:
-            best[i] = np.inf
-        if found:
-            o, c, r, x = (np.concatenate(z) for z in zip(*found, strict=True))
-            order = np.lexsort((x, r, c, o))
-            o, c, r, x = o[order], c[order], r[order], x[order]
-            first = np.concatenate([[True], (o[1:] != o[:-1]) | (c[1:] != c[:-1])])
-            best[o[first], c[first]] = r[first]
-            names[o[first], c[first]] = x[first]
-        pending = pending[np.isinf(best[pending]).any(axis=1)]
+            alive = np.flatnonzero(rank <= end)
+            state, rank, owner, end = state[alive], rank[alive], owner[alive], end[alive]
+            name = (state ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
+            name ^= name >> np.uint64(32)
+            slot = owner * k + (name % np.uint64(k)).astype(np.int64)
+            if whole:
+                slots.append(slot), ranks.append(rank), darts.append(name)
+                continue
+            height = height[alive]
+            inside = np.flatnonzero(_unit(mix64(name)) < height)
+            slots.append(slot[inside]), ranks.append(rank[inside]), darts.append(name[inside])
+        best.reshape(n, k)[pending] = np.inf
+        slot, rank, name = (np.concatenate(x) for x in (slots, ranks, darts))
+        np.minimum.at(best, slot, rank)
+        earliest = rank == best[slot]
+        names[slot[earliest]] = name[earliest]
+        pending = pending[np.isinf(best.reshape(n, k)[pending]).any(axis=1)]
         limit[pending] *= 2
-    return names
+    return names.reshape(n, k)
 
 
 def band_keys(names: np.ndarray, bands: int = BANDS) -> np.ndarray:
