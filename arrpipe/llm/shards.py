@@ -31,6 +31,7 @@ SHARDS = 24
 _BINS = 1024
 _DIMENSIONS = ["d0", "d1", "d2", "d3"]
 _ROUNDS = 12
+_FIRST = -(2**63)  # below all hashes
 
 
 @dataclass
@@ -99,7 +100,7 @@ def _histogram_cut(points: DataFrame, wanted: dict, light: float) -> dict:
     """
     state = {}
     for node, (dimension, weight) in wanted.items():
-        state[node] = {"d": dimension, "need": weight, "lo": None, "hi": None, "value": None}
+        state[node] = {"d": dimension, "need": weight, "lo": None, "hi": None, "value": None, "above": float("inf"), "tie_above": None}
     found: dict = {}
     for round_ in range(_ROUNDS):
         open_ = {n: s for n, s in state.items() if n not in found}
@@ -151,16 +152,23 @@ def _histogram_cut(points: DataFrame, wanted: dict, light: float) -> dict:
             one = r["lo"] == r["hi"]
             if small or (one and (on_tie or r["t"] == r["u"])):
                 after = s["need"] - before > before + r["w"] - s["need"]  # the nearer edge of the bin
-                edge = (bins[i + 1]["lo"] if i + 1 < len(bins) else None) if after else r["lo"]
-                if on_tie:
-                    tie = (bins[i + 1]["t"] if i + 1 < len(bins) else 2**63 - 1) if after else r["t"]
-                    found[n] = (s["value"], tie)
+                beyond = bins[i + 1] if i + 1 < len(bins) else None
+                if not after:
+                    found[n] = (s["value"], r["t"]) if on_tie else (r["lo"], _FIRST)
+                elif not on_tie:
+                    found[n] = (beyond["lo"] if beyond else s["above"], _FIRST)
+                elif beyond or s["tie_above"] is not None:
+                    found[n] = (s["value"], beyond["t"] if beyond else s["tie_above"])
                 else:
-                    found[n] = (float("inf") if edge is None else edge, -(2**63))
-            elif one:
-                s |= {"value": r["lo"], "lo": None, "hi": None, "need": s["need"] - before}
+                    found[n] = (s["above"], _FIRST)
+                continue
+            s["need"] -= before
+            if i + 1 < len(bins):  # what follows the part that is refined
+                s["tie_above" if on_tie else "above"] = bins[i + 1]["t" if on_tie else "lo"]
+            if one:
+                s |= {"value": r["lo"], "lo": None, "hi": None}
             else:
-                s |= {"lo": r["lo"], "hi": r["hi"], "need": s["need"] - before}
+                s |= {"lo": r["lo"], "hi": r["hi"]}
     return found
 
 
