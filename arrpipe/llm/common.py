@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -73,9 +74,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are no longer referenced.
+
+    The first collection finds the plans, the second what only they referenced.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def pack_columns(columns: list[np.ndarray]) -> bytes:

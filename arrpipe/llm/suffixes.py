@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, id_key, mix64, pack_columns, pieces, release, stage, total_bytes, unpack_columns
+from .common import binary_column, id_key, mix64, pack_columns, pieces, release, stage, text_tag, total_bytes, unpack_columns
 
 LENGTH = 50
 TRIGGER = 16
-BUCKET_BYTES = 24_000_000  # text per bucket, some 1.4 million phrases
-_CHUNK = 4_000_000
-_FLUSH = 1_500_000
+BUCKET_BYTES = 8_000_000  # text per bucket, some 500,000 phrases
+_CHUNK = 1_000_000
+_FLUSH = 600_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
@@ -206,7 +206,8 @@ def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
         blob = pack_columns(
             [
                 np.diff(trigger[part], prepend=np.uint64(0)), phrase[part], number.reshape(-1).astype(np.uint32),
-                start[part].astype(np.uint32), length[part].astype(np.uint8), pairs[0], pairs[1],
+                start[part].astype(np.uint32), length[part].astype(np.uint8),
+                np.diff(pairs[0], prepend=0), pairs[1].astype(np.uint32),
             ]
         )
         for name, value in zip(_RECORDS.names, (int(bucket[a]), 0, None, None, blob), strict=True):
@@ -243,6 +244,7 @@ def _judge(table: pa.Table) -> pa.Table:
             spans.append((doc, tag, *(x.astype(np.int64) for x in unpack_columns(blob))))
             continue
         trigger, phrase, number, start, length, docs, tags = unpack_columns(blob)
+        docs, tags = np.cumsum(docs), tags.astype(np.int64)
         parts.append((np.cumsum(trigger, dtype=np.uint64), phrase, docs[number], tags[number], start.astype(np.int64), length.astype(np.int64)))
     if not parts:
         return _span_rows(spans)
@@ -357,7 +359,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: doc (null ids as the greatest long), n_bytes, n_removed, spans removed, kept bytes."""
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    rows = docs.select(id_key().alias("doc"), F.xxhash64("text").alias("tag"), data.alias("data"))
+    rows = docs.select(id_key().alias("doc"), text_tag().bitwiseAND(2**32 - 1).alias("tag"), data.alias("data"))
     buckets = pieces(total_bytes(docs, "text"), bucket_bytes, 8)
     judged = stage(
         rows.mapInArrow(_parse(buckets), _RECORDS_DDL).groupBy("bucket").applyInArrow(_judge, _JUDGED_DDL), "phrases"
