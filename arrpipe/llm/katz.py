@@ -11,8 +11,8 @@ one sum to exactly 1. A context whose counts are all greater than 5 has no disco
 counts as ``c(h) + 1``. Discounts that counts of counts can't give (none of some count, or not within 0 and 1) are
 ``(r - 0.5) / r``. A context never seen in training passes the shorter one's probability on.
 
-Tables. Texts become batches of tokens with numbers of their own; a vocabulary table gives each word a
-global number and its count, and each batch gets back the numbers of its words. N-grams are then
+Tables. Texts become batches of tokens with numbers of their own; the unigram table gives each word a
+global number and its count, and each batch gets back those of its words. N-grams are then
 dealt over buckets by context, each batch's equal n-grams combined first, so a bucket holds whole contexts: it
 counts, discounts, normalises and evaluates all tokens of its contexts, whose lower-order
 probability came with them. Orders above the first are evaluated one after the other, each on the previous one's result. Contexts of
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, mix64, pack_columns, pieces, release, stage, unpack_columns
@@ -45,8 +45,8 @@ _FLUSH = 2_000_000
 _END = b" "  # no token holds a space
 _BEGIN = np.uint64(2**64 - 1)
 
-_BATCHES_DDL = "texts binary, words array<binary>, counts array<long>"
-_BATCHES = pa.schema([("texts", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
+_BATCHES_DDL = "texts binary, words array<binary>, counts array<long>, ends long"
+_BATCHES = pa.schema([("texts", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("ends", pa.int64())])
 _GRAMS_DDL = "bucket int, batch long, stats boolean, blob binary"
 _GRAMS = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("stats", pa.bool_()), ("blob", pa.binary())])
 _SUMS_DDL = "batch long, stats boolean, blob binary, open binary, hot binary, seen array<long>"
@@ -93,7 +93,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
         )
         return pa.RecordBatch.from_pydict(
-            {"texts": [blob], "words": [[names[i] for i in order]], "counts": [training[order]]}, schema=_BATCHES
+            {"texts": [blob], "words": [[names[i] for i in order]], "counts": [training[order]], "ends": [int((~held).sum())]}, schema=_BATCHES
         )
 
     words: dict[bytes, int] = {}
@@ -116,11 +116,14 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _numbered(table: pa.Table) -> pa.Table:
-    """The global numbers and counts of one batch's words, in the batch's order."""
+    """The global numbers and counts of one batch's words, in the batch's order; its words counted here, and its end tokens."""
     place = table.column("place").to_numpy()
     order = np.argsort(place)
     blob = pack_columns([table.column("id").to_numpy()[order].astype(np.uint64), table.column("count").to_numpy()[order].astype(np.uint64)])
-    return pa.table({"batch": table.column("batch").slice(0, 1), "names": pa.array([blob], pa.binary())})
+    own = table.column("own").to_numpy(zero_copy_only=False) & (table.column("count").to_numpy() > 0)
+    return pa.table(
+        {"batch": table.column("batch").slice(0, 1), "names": pa.array([blob], pa.binary()), "words": pa.array([int(own.sum())], pa.int64())}
+    )
 
 
 class _Batch:
@@ -135,7 +138,10 @@ class _Batch:
         self.starts = np.cumsum(self.size) - self.size
 
     def contexts(self, length: int, begin_count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per token a hash of the ``length`` tokens before it, and the least of their counts."""
+        """Per token a code of the ``length`` tokens before it, and the least of their counts.
+
+        One token is its own code, more are hashed.
+        """
         inside = np.arange(len(self.token)) - self.starts[self.owner]
         code = np.full(len(self.token), length, np.uint64)
         rarest = np.full(len(self.token), 2**62, np.int64)
@@ -143,7 +149,7 @@ class _Batch:
             token, count = np.full(len(code), _BEGIN), np.full(len(code), begin_count, np.int64)
             has = np.flatnonzero(inside >= back)
             token[has], count[has] = self.token[has - back], self.count[has - back]
-            code = mix64(code * np.uint64(0x9E3779B97F4A7C15) + token)
+            code = token if length == 1 else mix64(code * np.uint64(0x9E3779B97F4A7C15) + token)
             rarest = np.minimum(rarest, count)
         return code, rarest
 
@@ -179,13 +185,15 @@ def _deal(level: int, last: bool, n: int, v: int, begin_count: int, buckets: int
                 else:
                     emit(number % buckets, number, True, pack_columns([b.size]))
                 parts = np.where(rarest > hot, np.minimum(buckets, rarest // hot + 1), 1)
-                home = (context >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                home = (mix64(context) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
                 shift = (mix64(b.token) >> np.uint64(16)).astype(np.int64) % parts
                 bucket = ((home.astype(np.int64) + shift) % buckets).astype(np.int64)
                 slot = b.owner if last else np.arange(len(b.token))
                 order = np.lexsort((slot, b.token, context, bucket))
+                del home, shift, rarest, base
                 bucket, context, token, slot = bucket[order], context[order], b.token[order], slot[order]
                 lower, train, split = lower[order], (b.held[b.owner] == 0)[order], (parts > 1)[order]
+                del b, order, parts
                 new_bucket = np.concatenate([[True], bucket[1:] != bucket[:-1]])
                 new_pair = new_bucket.copy()
                 new_pair[1:] |= (context[1:] != context[:-1]) | (token[1:] != token[:-1])
@@ -384,21 +392,21 @@ def scores(docs: DataFrame, held: Column | None = None, order: int = ORDER, buck
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text")
     texts = stage(rows.mapInArrow(_tokenise, _BATCHES_DDL).withColumn("batch", F.monotonically_increasing_id()), "katz-batches")
     words = texts.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select(
-        "batch", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n")
-    )
-    # The unigram table. Frequent words come first in each partition, so that most numbers are small.
-    vocabulary = stage(
-        words.groupBy("word").agg(F.sum("n").alias("count")).sortWithinPartitions(F.desc("count"))
-        .withColumn("id", F.monotonically_increasing_id()),
-        "katz-words",
+        "batch", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"), F.monotonically_increasing_id().alias("at")
     )
-    n, v = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
-    ends = vocabulary.where(F.col("word") == F.lit(_END)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    # The unigram table, partitioned by word: a word's count, and as its number the least place where a batch
+    # lists it. Batches list frequent words first, so most numbers are small. A word has a row for each batch.
+    same = Window.partitionBy("word")
+    counted = words.select("batch", "place", F.sum("n").over(same).alias("count"), F.min("at").over(same).alias("id"), "at")
     names = stage(
-        words.select("batch", "place", "word").join(vocabulary, "word").select("batch", "place", "id", "count")
-        .groupBy("batch").applyInArrow(_numbered, "batch long, names binary"),
+        counted.select("batch", "place", "id", "count", (F.col("id") == F.col("at")).alias("own"))
+        .groupBy("batch").applyInArrow(_numbered, "batch long, names binary, words long"),
         "katz-numbers",
     )
+    n = texts.agg(F.coalesce(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    ends = texts.agg(F.coalesce(F.sum("ends"), F.lit(0))).first()[0]
+    v = names.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    names = names.drop("words")
     buckets = pieces(n, bucket_tokens, 8)
     hot = bucket_tokens // 2 if hot is None else hot
     lower = None
