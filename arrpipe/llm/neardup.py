@@ -15,7 +15,7 @@ Signatures are cut into bands of rows; documents sharing a band are candidates (
 5 pairs in 10^8). Documents with the same weighted set are first collapsed into one representative, so thousands of copies cost
 nothing further. Within a band's bucket no pairs are listed: in each round, the bucket's leader (the least by a hash of
 the round and band) is compared with the members that aren't in its class yet, exactly, on the shingles. Buckets whose
-members are all of one class retire. When few enough pairs of different classes are left in buckets, these are
+members are all of one class retire, and so do members that have too many shingles of their own to be similar to any other. When few enough pairs of different classes are left in buckets, these are
 all compared, except those that the triangle inequality of the Jaccard distance over a leader or the sizes
 exclude. So every candidate pair is either verified, in one class already, or provably below the threshold.
 
@@ -42,8 +42,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-MAX_ROUNDS = 8
-REST_PER_ROW = 2  # the last round lists at most so many pairs per bucket row
+MAX_ROUNDS = 12
+REST_PER_ROW = 1  # the last round lists at most so many pairs per bucket row
 
 _SIGNED = pa.schema(
     [("id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("n", pa.float64()), ("bands", pa.list_(pa.int64()))]
@@ -205,34 +205,35 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(joined.mapInArrow(_verify, "a long, b long, similarity double"), "similar")
 
 
-def components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(classes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """``classes`` (rep, class) with the classes that ``edges`` (a, b) connect made one, the least.
 
-    Each class hooks to its least neighbour, pointers are followed to the roots, edges
-    are contracted, until none is left.
+    Each class hooks to its least neighbour, and pointers are followed four steps; repeated until
+    no edge connects two classes, or ``most`` times.
     """
-    labels = classes
-    while True:
+    labels, done = classes, 0
+    while most is None or done < most:
         ends = (
             edges.join(labels.select(F.col("rep").alias("a"), F.col("class").alias("ca")), "a")
             .join(labels.select(F.col("rep").alias("b"), F.col("class").alias("cb")), "b")
-            .where("ca <> cb").select("ca", "cb").distinct()
+            .where("ca <> cb")
+            .select(F.greatest("ca", "cb").alias("c"), F.least("ca", "cb").alias("p"))
         )
-        ends = stage(ends, "class-links")
-        if ends.isEmpty():
-            return labels
-        both = ends.union(ends.select("cb", "ca"))
-        parent = stage(both.groupBy(F.col("ca").alias("c")).agg(F.least("c", F.min("cb")).alias("p")), "class-parents")
-        while True:
-            up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            jumped = stage(parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"), (F.col("pp") < F.col("p")).alias("moved")), "class-parents")
-            moved = not jumped.where("moved").isEmpty()
-            parent = jumped.select("c", "p")
-            if not moved:
-                break
+        parent = stage(ends.groupBy("c").agg(F.min("p").alias("p")), "class-parents")
+        if parent.isEmpty():
+            break
+        two = _jumped(parent)
         labels = stage(
-            labels.join(parent, labels["class"] == parent["c"], "left").select("rep", F.coalesce("p", "class").alias("class")), "classes"
+            labels.join(_jumped(two), F.col("class") == F.col("c"), "left").select("rep", F.coalesce("p", "class").alias("class")), "classes"
         )
+        done += 1
+    return labels
+
+
+def _jumped(parent: DataFrame) -> DataFrame:
+    """Every pointer replaced by where it leads in two steps."""
+    up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
+    return parent.join(up, "p", "left").select("c", F.coalesce("pp", "p").alias("p"))
 
 
 def document_key() -> Column:
@@ -294,15 +295,18 @@ def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame
     for round_ in range(MAX_ROUNDS + 1):
         labelled = active.join(classes, "rep")
         # Buckets of several classes go on.
-        open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        active = stage(labelled.join(open_keys.select("key", "m"), "key").select("key", "rep", "n", "class", "m"), "open-buckets")
-        if active.isEmpty():
+        open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
+        active = stage(labelled.join(open_keys.select("key"), "key").select("key", "rep", "n", "class"), "open-buckets")
+        if round_ == 1:
+            active = stage(_possible(active, sets, threshold), "open-buckets")
+        by_class = active.groupBy("key", "class").agg(F.count("*").alias("c"))
+        by_key = by_class.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left, total = by_key.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2, F.sum("m")).first()
+        if not left:
             break
-        by_class = active.groupBy("key", "class").agg(F.count("*").alias("c"), F.first("m").alias("m"))
-        left, total = by_class.agg(F.sum(F.col("c") * (F.col("m") - F.col("c"))) / 2, F.sum("c")).first()
-        if left <= REST_PER_ROW * total or round_ == MAX_ROUNDS:
+        last = left <= REST_PER_ROW * total or round_ == MAX_ROUNDS
+        if last:
             pairs = _rest(active, known, threshold)
-            last = True
         else:
             order = F.struct(F.xxhash64("rep", "key", F.lit(round_)).alias("h"), "rep", "class", "n")
             leaders = active.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.class").alias("lc"), F.col("l.n").alias("ln"))
@@ -311,18 +315,48 @@ def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame
                 .where(F.least("n", "ln") >= F.lit(threshold) * F.greatest("n", "ln"))
                 .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
             )
-            last = False
         if known is not None:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = compared(pairs, sets)
-        known = new if known is None else stage(known.unionByName(new), "compared")
-        classes = components(classes, new.where(F.col("similarity") >= threshold).select("a", "b"))
-        active = active.select("key", "rep", "n")
+        known = new if known is None else known.unionByName(new)
         if last:
             break
+        # Some steps are enough here: classes that are still apart are only compared in vain.
+        classes = components(classes, new.where(F.col("similarity") >= threshold).select("a", "b"), 2)
+        active = active.select("key", "rep", "n")
     if known is None:
         known = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    return classes, known
+    return components(classes, known.where(F.col("similarity") >= threshold).select("a", "b")), known
+
+
+def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, items, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            e = np.frombuffer(items, np.int64)
+            w = np.frombuffer(weights, np.float32).astype(float) if weights else np.ones(len(e))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), rep)), pa.array(e), pa.array(w)], names=["rep", "item", "w"])
+
+
+def _possible(active: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The bucket rows that can still have a partner in their bucket.
+
+    Elements that no other open document holds can't be in an intersection. With the weight ``s`` of the others, and
+    no partner smaller than the least size that the bucket and the threshold allow, the similarity is at most
+    ``s / (n + least - s)``. Counting elements combines before the shuffle, so common ones cost nothing.
+    """
+    reps = active.select("rep").distinct()
+    items = sets.join(reps, "rep", "left_semi").select("rep", "items", "weights").mapInArrow(_lone, "rep long, item long, w double")
+    lone = (
+        items.groupBy("item").agg(F.count("*").alias("m"), F.min("rep").alias("rep"), F.min("w").alias("w")).where("m = 1")
+        .groupBy("rep").agg(F.sum("w").alias("lone"))
+    )
+    least = active.groupBy("key").agg(F.min("n").alias("least"))
+    common = F.col("n") - F.coalesce("lone", F.lit(0.0))
+    bound = common / (F.col("n") + F.greatest(F.col("least"), F.col("n") * threshold) - common)
+    return (
+        active.join(least, "key").join(lone, "rep", "left").where(bound >= F.lit(threshold - 1e-9))
+        .select("key", "rep", "n", "class")
+    )
 
 
 def _rest(active: DataFrame, known: DataFrame | None, threshold: float) -> DataFrame:
