@@ -15,9 +15,10 @@ Signatures are cut into bands of rows; documents sharing a band are candidates (
 5 pairs in 10^8). Documents with the same weighted set are first collapsed into one representative, so thousands of copies cost
 nothing further. Within a band's bucket no pairs are listed: in each round, the bucket's leader (the least by a hash of
 the round and band) is compared with the members that aren't in its class yet, exactly, on the shingles. Buckets whose
-members are all of one class retire, and so do members that have too many shingles of their own to be similar to any other. When few enough pairs of different classes are left in buckets, these are
-all compared, except those that the triangle inequality of the Jaccard distance over a leader or the sizes
-exclude. So every candidate pair is either verified, in one class already, or provably below the threshold.
+members are all of one class retire, and so do members that have too many shingles of their own to be similar to any other.
+After ``STAR_ROUNDS`` rounds, what is left in open buckets goes through a prefix-filtered join on the
+elements in which members differ from a common hub, which finds every pair that can still reach the threshold (see
+``_rest``). So every candidate pair is either verified, in one class already, or provably below the threshold.
 
 Classes are connected components, found by hooking each class to its least neighbour and jumping.
 
@@ -42,8 +43,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-MAX_ROUNDS = 12
-REST_PER_ROW = 1  # the last round lists at most so many pairs per bucket row
+STAR_ROUNDS = 3
 
 _SIGNED = pa.schema(
     [("id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("n", pa.float64()), ("bands", pa.list_(pa.int64()))]
@@ -184,16 +184,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum()) + float(b[1].sum()) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def decoded(items: bytes, weights: bytes):
-        e = np.frombuffer(items, np.uint64)
-        return e, np.frombuffer(weights, np.float32).astype(float) if weights else np.ones(len(e))
+def _decoded(items: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    e = np.frombuffer(items, np.uint64)
+    return e, np.frombuffer(weights, np.float32).astype(float) if weights else np.ones(len(e))
+
 
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for i in range(batch.num_rows):
             x = [batch.column(c)[i].as_py() for c in range(2, 6)]
-            out.append(similarity(decoded(x[0], x[1]), decoded(x[2], x[3])))
+            out.append(similarity(_decoded(x[0], x[1]), _decoded(x[2], x[3])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
 
 
@@ -292,21 +293,18 @@ def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame
     classes = stage(rows.select("rep").distinct().withColumn("class", F.col("rep")), "classes")
     known = None
     active = rows.select("key", "rep", "n")
-    for round_ in range(MAX_ROUNDS + 1):
+    for round_ in range(STAR_ROUNDS + 1):
         labelled = active.join(classes, "rep")
         # Buckets of several classes go on.
         open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi")
         active = stage(labelled.join(open_keys.select("key"), "key").select("key", "rep", "n", "class"), "open-buckets")
         if round_ == 1:
             active = stage(_possible(active, sets, threshold), "open-buckets")
-        by_class = active.groupBy("key", "class").agg(F.count("*").alias("c"))
-        by_key = by_class.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, total = by_key.agg(F.sum(F.col("m") * F.col("m") - F.col("q")) / 2, F.sum("m")).first()
-        if not left:
+        if active.isEmpty():
             break
-        last = left <= REST_PER_ROW * total or round_ == MAX_ROUNDS
+        last = round_ == STAR_ROUNDS
         if last:
-            pairs = _rest(active, known, threshold)
+            pairs = _rest(active, sets, threshold)
         else:
             order = F.struct(F.xxhash64("rep", "key", F.lit(round_)).alias("h"), "rep", "class", "n")
             leaders = active.groupBy("key").agg(F.min(order).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.class").alias("lc"), F.col("l.n").alias("ln"))
@@ -329,12 +327,22 @@ def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame
     return components(classes, known.where(F.col("similarity") >= threshold).select("a", "b")), known
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, items, weights, hub, size) to one row per element."""
+    for batch in batches:
+        for _, items, weights, hub, size in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            e, w = _decoded(items, weights)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(e), hub)), pa.array(np.full(len(e), size)), pa.array(e.view(np.int64)), pa.array(w)],
+                names=["hub", "size", "item", "w"],
+            )
+
+
 def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rep, items, weights in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            e = np.frombuffer(items, np.int64)
-            w = np.frombuffer(weights, np.float32).astype(float) if weights else np.ones(len(e))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), rep)), pa.array(e), pa.array(w)], names=["rep", "item", "w"])
+            e, w = _decoded(items, weights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), rep)), pa.array(e.view(np.int64)), pa.array(w)], names=["rep", "item", "w"])
 
 
 def _possible(active: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -359,26 +367,88 @@ def _possible(active: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     )
 
 
-def _rest(active: DataFrame, known: DataFrame | None, threshold: float) -> DataFrame:
-    """The pairs of different classes in a bucket that sizes and one common reference don't exclude."""
-    reach = 1 - threshold
-    left = active.select("key", F.col("rep").alias("a"), F.col("class").alias("ca"), F.col("n").alias("na"))
-    right = active.select("key", F.col("rep").alias("b"), F.col("class").alias("cb"), F.col("n").alias("nb"))
-    pairs = (
-        left.join(right, "key").where("a < b and ca <> cb")
-        .where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-        .select("a", "b").distinct()
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, rep, common elements and weights, rep's set) to the elements in which they differ, and by how much."""
+    for batch in batches:
+        hubs, reps = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(batch.num_rows):
+            common = np.array(batch.column(2)[i].as_py() or [], np.int64).view(np.uint64), np.array(batch.column(3)[i].as_py() or [])
+            own = _decoded(batch.column(4)[i].as_py(), batch.column(5)[i].as_py())
+            item, at = np.unique(np.concatenate([common[0], own[0]]), return_inverse=True)
+            weight = np.abs(np.bincount(at, weights=np.concatenate([-common[1], own[1]]), minlength=len(item)))
+            item, weight = item[weight > 0], weight[weight > 0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hubs[i]]), pa.array([reps[i]]), pa.array([float(weight.sum())]), pa.array([item.view(np.int64)]), pa.array([weight])],
+                names=["hub", "rep", "gap", "items", "weights"],
+            )
+
+
+def _rest(active: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of different classes in open buckets that may be similar, without listing all pairs of a bucket.
+
+    Each bucket has a hub, the member in most open buckets, and buckets of one hub share a reference set: the elements that
+    most of their members hold. With ``D(x)`` the elements in which x and the reference differ, x and y differ by at least ``|D(x)| + |D(y)| - 2 |D(x) and D(y)|``, and similar ones by at most ``r (n(x) + n(y))``, ``r = (1 - t) /
+    (1 + t)``, so by at most ``limit(x)``, y being no larger than ``n(x) / t`` and the hub's
+    largest member. So similar y share of D(x) at least ``|D(x)| - limit(x)``: every such y
+    has one of the first elements of D(x), in any order, that leave less than that. The order is by
+    rarity, and what a document has edited is rare. If D(x) is within the limit, y shares an element of D(x) or is itself
+    within the limit's rest of the reference. Members of the hub's own class don't look for partners.
+    """
+    degree = active.groupBy("rep").agg(F.count("*").alias("d"))
+    hubs = active.join(degree, "rep").groupBy("key").agg(F.max(F.struct("d", "rep", "class")).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.class").alias("hc"))
+    members = active.join(hubs, "key").select("hub", "hc", "rep", "class", "n").distinct()
+    largest = members.groupBy("hub").agg(F.max("n").alias("most"), F.count("*").alias("size"))
+    members = stage(members.join(largest, "hub"), "hub-members")
+    items = (
+        members.select("hub", "rep", "size").join(sets, "rep").select("rep", "items", "weights", "hub", "size")
+        .mapInArrow(_elements, "hub long, size long, item long, w double")
     )
-    if known is None:
-        return pairs
-    # d(a, b) >= |d(a, x) - d(b, x)| for the representative x that most pairs of a were compared with.
-    ends = known.select(F.col("a").alias("r"), F.col("b").alias("x"), "similarity").union(known.select(F.col("b").alias("r"), F.col("a").alias("x"), "similarity"))
-    nearest = ends.groupBy("r").agg(F.max_by("x", "similarity").alias("x"), F.max("similarity").alias("s"))
-    a_side = nearest.select(F.col("r").alias("a"), F.col("x").alias("ax"), F.col("s").alias("sa"))
-    cross = ends.select(F.col("r").alias("b"), F.col("x").alias("ax"), F.col("similarity").alias("sb"))
-    bounded = pairs.join(a_side, "a", "left").join(cross, ["b", "ax"], "left")
-    excluded = F.coalesce(F.abs(F.col("sa") - F.col("sb")) > F.lit(reach + 1e-9), F.lit(False))
-    return bounded.where(~excluded).select("a", "b").distinct()
+    common = (
+        items.groupBy("hub", "item").agg(F.count("*").alias("m"), F.first("size").alias("size"), F.max("w").alias("w"))
+        .where("2 * m > size")
+        .groupBy("hub").agg(F.collect_list(F.struct("item", "w")).alias("c"))
+        .select("hub", F.col("c.item").alias("ci"), F.col("c.w").alias("cw"))
+    )
+    apart = (
+        members.select("hub", "rep").join(common, "hub", "left").join(sets, "rep").select("hub", "rep", "ci", "cw", "items", "weights")
+        .mapInArrow(_apart, "hub long, rep long, gap double, items array<long>, weights array<double>")
+    )
+    known = stage(members.join(apart, ["hub", "rep"]), "hub-gaps")
+    reach = (1 - threshold) / (1 + threshold)
+    limit = (F.col("n") + F.least(F.col("n") / threshold, F.col("most"))) * reach + 1e-9
+    listed = known.select("hub", "hc", "rep", "class", "n", "most", "gap", F.explode(F.arrays_zip("items", "weights")).alias("x")).select(
+        "hub", "hc", "rep", "class", "n", "most", "gap", F.col("x.items").alias("item"), F.col("x.weights").alias("w")
+    )
+    often = listed.groupBy("hub", "item").agg(F.count("*").alias("m"))
+    # All later elements together must weigh less than what a partner shares.
+    onwards = Window.partitionBy("hub", "rep").orderBy("m", "item").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ordered = stage(
+        listed.join(often, ["hub", "item"]).withColumn("left", F.sum("w").over(onwards)).where("m > 1"), "hub-elements"
+    )
+    seekers = ordered.where("class <> hc").where(F.col("left") >= F.col("gap") - limit - 1e-6).select(
+        "hub", "item", F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx"), F.col("gap").alias("gx"), F.col("left").alias("lx")
+    )
+    partners = ordered.select(
+        "hub", "item", F.col("rep").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("gap").alias("gy"), F.col("left").alias("ly")
+    )
+    most = (F.col("nx") + F.col("ny")) * reach
+    fits = (
+        (F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy"))
+        & (F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny"))
+        & (F.abs(F.col("gx") - F.col("gy")) <= most + 1e-9)
+    )
+    # At the first element that two share, what is left of either covers all that they share.
+    enough = 2 * F.least("lx", "ly") >= F.col("gx") + F.col("gy") - most - 1e-6
+    sharing = seekers.join(partners, ["hub", "item"]).where(fits & enough).select("x", "y")
+    within = known.where(F.col("gap") <= limit).select("hub", "hc", "rep", "class", "n", "gap")
+    close = (
+        within.where("class <> hc").select("hub", F.col("rep").alias("x"), F.col("class").alias("cx"), F.col("n").alias("nx"), F.col("gap").alias("gx"))
+        .join(within.select("hub", F.col("rep").alias("y"), F.col("class").alias("cy"), F.col("n").alias("ny"), F.col("gap").alias("gy")), "hub")
+        .where(fits & (F.col("gx") + F.col("gy") <= most + 1e-9))
+        .select("x", "y")
+    )
+    pairs = sharing.unionByName(close)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def unique(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

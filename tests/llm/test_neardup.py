@@ -84,15 +84,14 @@ def test_signature_agreement_is_weighted_jaccard():
     assert (neardup.signatures([b], 4096)[0] == s[1]).all()
 
 
-def test_rest_loses_no_link(spark, monkeypatch):
-    r = random.Random(8)
-    texts = family(r, [f"w{i}" for i in range(50)], 30, 60, 3)
+@pytest.mark.parametrize(("edits", "weights"), [(3, "set"), (1, "set"), (2, "count")])
+def test_rest_loses_no_link(spark, monkeypatch, edits, weights):
+    r = random.Random(edits)
+    texts = family(r, [f"w{i}" for i in range(50)], 40, 60, edits) + family(r, ["a", "b", "c"], 20, 40, 2)
+    texts += [" ".join(t.split()[:50]) for t in texts[:10]]
     docs = list(enumerate(texts))
-    expected = brute(docs)
-    monkeypatch.setattr(neardup, "REST_PER_ROW", 0)
-    assert run(spark, docs) == expected
-    monkeypatch.setattr(neardup, "MAX_ROUNDS", 0)
-    assert run(spark, docs) == expected
+    monkeypatch.setattr(neardup, "STAR_ROUNDS", 0)
+    assert run(spark, docs, weights=weights) == brute(docs, counts=weights == "count")
 
 
 def test_query_on_whole_table(spark):
