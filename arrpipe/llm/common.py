@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import struct
 import time
@@ -27,7 +29,7 @@ LAST_ID = 2**63 - 1
 
 __all__ = [
     "LAST_ID", "TOKEN", "WORD", "binary_column", "crc_of_id", "id_key", "mix64",
-    "pack_columns", "pieces", "release", "stage", "table", "text_tag", "total_bytes", "unpack_columns", "words_of",
+    "pack_columns", "pieces", "release", "stage", "table", "text_tag", "total_bytes", "trim", "unpack_columns", "words_of",
 ]
 
 
@@ -84,6 +86,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def trim() -> None:
+    """Give memory that is free in a Python worker back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pack_columns(columns: list[np.ndarray]) -> bytes:
     """Arrays of numbers as one compressed value; equal bytes of a column's numbers stand together."""
     head, body = [struct.pack("<B", len(columns))], []

@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, id_key, mix64, pack_columns, pieces, release, stage, text_tag, total_bytes, unpack_columns
+from .common import binary_column, id_key, mix64, pack_columns, pieces, release, stage, text_tag, total_bytes, trim, unpack_columns
 
 LENGTH = 50
 TRIGGER = 16
 BUCKET_BYTES = 8_000_000  # text per bucket, some 500,000 phrases
-_CHUNK = 1_000_000
+_CHUNK = 500_000
 _FLUSH = 600_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _POSITION = np.uint64((1 << 24) - 1)
@@ -170,6 +170,7 @@ def _parse(buckets: int):
                     if count >= _FLUSH:
                         yield _packed(held, buckets)
                         held, count = [], 0
+                        trim()
                 i = j
         if count:
             yield _packed(held, buckets)
@@ -246,6 +247,7 @@ def _judge(table: pa.Table) -> pa.Table:
         trigger, phrase, number, start, length, docs, tags = unpack_columns(blob)
         docs, tags = np.cumsum(docs), tags.astype(np.int64)
         parts.append((np.cumsum(trigger, dtype=np.uint64), phrase, docs[number], tags[number], start.astype(np.int64), length.astype(np.int64)))
+    trim()
     if not parts:
         return _span_rows(spans)
     trigger, phrase, doc, tag, start, length = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -296,6 +298,7 @@ def _fetch(buckets: int):
 
 def _order(table: pa.Table) -> pa.Table:
     """The suffixes of one bucket's open phrases in order, cut at LENGTH bytes; spans of those that a smaller document holds."""
+    trim()
     doc, tag, start = (table.column(c).to_numpy() for c in ("doc", "tag", "start"))
     column = table.column("bytes").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
