@@ -6,10 +6,35 @@ row_number, and so on: the direct statement of what the Spark jobs compute.
 
 from __future__ import annotations
 
-from ..functions.names import _SUFFIXES, _SYNONYMS
-from ..sources.seeds import CATEGORIES, CURRENCIES, REVENUE_RANGES
 from .inputs import ARTICLES, COMPANIES, as_sql
 
+# The seeds as the results must have them, stated apart from the code under test.
+CATEGORIES = [
+    (1, "Finance", "Finance"), (2, "Cybersecurity", "Security"), (3, "Enterprise Software", "Software"),
+    (4, "Data Analytics", "Analytics"), (5, "InfoSec", "Security"), (6, "Machine Learning", "AI/ML"),
+    (7, "Software", "Software"), (8, "Cloud", "Cloud"), (9, "FinTech", "Finance"), (10, "AI/ML", "AI/ML"),
+    (11, "Financial Technology", "Finance"), (12, "Analytics", "Analytics"), (13, "Security", "Security"),
+    (14, "AI & ML", "AI/ML"), (15, "Artificial Intelligence", "AI/ML"), (16, "Big Data", "Analytics"),
+    (17, "SaaS", "Software"), (18, "Cloud Services", "Cloud"), (19, "Cloud Computing", "Cloud"),
+]
+REVENUE_RANGES = [
+    (0, 0.0, 0.0, "Unknown", 0), (1, 1.0, 1e4, "Up to 10K USD", 1), (2, 10001.0, 1e5, "10K -100K USD", 2),
+    (3, 100001.0, 1e6, "100K - 1M USD", 3), (4, 1000001.0, 1e7, "1M-10M USD", 4),
+    (5, 10000001.0, 1e8, "10M-100M", 5), (6, 100000001.0, 1e9, "100M-1B", 6),
+    (7, 1000000001.0, 1e10, "1B - 10B", 7), (8, 10000000001.0, 1e11, "10B - 100B", 8),
+    (9, 100000000001.0, None, "100B+", 9),
+]
+CURRENCIES = [(1, "EUR", 1.1, True), (2, "GBP", 1.27, True), (3, "JPY", 1.0 / 150, True), (4, "USD", 1.0, True)]
+# Endings of company names that don't count, and names with other names.
+_SUFFIXES = [
+    "corporation", r"corp\.?", "incorporated", r"inc\.?", "limited", r"ltd\.?", "llc", "plc",
+    "gmbh", "ag", r"co\.?", "company", "group", "holdings", "technologies", "research", "labs",
+]
+_SYNONYMS = [
+    (["facebook", "facebookai", "facebookairesearch"], ["meta ai", "metaai"]),
+    (["azure", "microsoftazure"], ["microsoft"]),
+]
+
 _INPUTS = f"articles as ({as_sql(ARTICLES)}), companies as ({as_sql(COMPANIES)})"
 
 
@@ -68,12 +93,13 @@ def _int(x: str) -> str:
 
 def _amount(x: str) -> str:
     """Amount of text without currency symbols and codes."""
-    pattern = r"'([0-9.]+)\s*(billion|million|thousand|bn|mm|b|m|k)?'"
+    # Units and their powers of ten.
+    powers = {"b": 9, "bn": 9, "billion": 9, "m": 6, "mm": 6, "million": 6, "k": 3, "thousand": 3}
+    pattern = r"'([0-9.]+)\s*(" + "|".join(sorted(powers, key=len, reverse=True)) + ")?'"
     unit = f"lower(regexp_extract({x}, {pattern}, 2, 'i'))"
-    return f"""try_cast(regexp_extract({x}, {pattern}, 1, 'i') as double) * case
-      when {unit} in ('b','bn','billion') then 1000000000::double
-      when {unit} in ('m','mm','million') then 1000000::double
-      when {unit} in ('k','thousand') then 1000::double else 1::double end"""
+    factors = ", ".join(f"'{unit_}': 1e{power}::double" for unit_, power in powers.items())
+    return f"""try_cast(regexp_extract({x}, {pattern}, 1, 'i') as double)
+      * coalesce(map {{{factors}}}[{unit}], 1::double)"""
 
 
 _SYMBOL_FREE = r"regexp_replace(replace(%s, ',', ''), '[$€£¥]|(USD|EUR|GBP|JPY)\b', '', 'gi')"
@@ -183,38 +209,49 @@ observed as (
 _DIMS = f"{_CATEGORIES}, {_RANGES}, {_RATES}, {_DATES}"
 
 
+_CLASSES = """staff_classes(lowest, highest, class) as (
+  values (null::int, 9999, 'Small'), (10000, 30000, 'Medium'), (30001, null::int, 'Large')),
+listings(listed, label) as (values (true, 'Public'), (false, 'Private'))"""
+
+
 def _fact(rows: str) -> str:
+    """The star join, each attribute group looked up on its own."""
     return f"""
-  select article_id, title, cat.category_group, cat.name category_name,
-    coalesce(kind, 'Not matched') company_matched,
-    case when kind is not null then co.company_name else s.company_name end company_name,
-    coalesce(revenue_min_actual_usd, revenue_actual_usd) revenue_min_usd,
-    coalesce(revenue_max_actual_usd, revenue_actual_usd) revenue_max_usd, revenue_actual_usd,
-    range_order revenue_range_order, range_name revenue_range_name, co.industry, co.founded_year,
-    cast(2026 - co.founded_year as integer) company_age, co.headquarters, co.employee_count,
-    case co.is_public when true then 'Public' when false then 'Private' else 'Unknown' end
-      public_private_status, co.stock_ticker,
-    concat_ws(' - ', co.industry, cat.category_group) industry_category, pub published_date,
-    case when co.employee_count < 10000 then 'Small' when co.employee_count <= 30000 then 'Medium'
-      when co.employee_count > 30000 then 'Large' else 'Unknown' end company_size_category,
-    dt.year, dt.month, strftime(pub, '%b') mon,
-    concat('Q', cast(dt.quarter_no as varchar)) quarter_no, s.k
-  from {rows} s left join companies co on co.id = s.company_id
-  left join categories cat on cat.id = s.category_id
-  left join ranges rng on rng.range_id = s.revenue_range_id
-  left join dates dt on dt.date = s.pub"""
+  with firm as (
+    select c.id firm_id, c.* exclude (id, company_name), c.company_name known_name,
+      cast(2026 - c.founded_year as integer) company_age,
+      coalesce(l.label, 'Unknown') public_private_status, coalesce(z.class, 'Unknown') company_size_category
+    from companies c left join listings l on l.listed = c.is_public
+    left join staff_classes z
+      on c.employee_count between coalesce(z.lowest, c.employee_count) and coalesce(z.highest, c.employee_count)),
+  topic as (select id topic_id, name category_name, category_group from categories),
+  band as (select range_id band_id, range_order revenue_range_order, range_name revenue_range_name from ranges),
+  day as (select date published, year, month, 'Q' || quarter_no quarter_no from dates)
+  select article_id, title, category_group, category_name, ifnull(kind, 'Not matched') company_matched,
+    case when kind is not null then known_name when article_id is not null then r.company_name end company_name,
+    ifnull(revenue_min_actual_usd, revenue_actual_usd) revenue_min_usd,
+    ifnull(revenue_max_actual_usd, revenue_actual_usd) revenue_max_usd, revenue_actual_usd,
+    revenue_range_order, revenue_range_name, industry, founded_year, company_age, headquarters, employee_count,
+    ifnull(public_private_status, 'Unknown') public_private_status, stock_ticker,
+    array_to_string(list_filter([industry, category_group], lambda x: x is not null), ' - ') industry_category,
+    pub published_date, ifnull(company_size_category, 'Unknown') company_size_category,
+    year, month, monthname(pub)[:3] mon, ifnull(quarter_no, 'Q') quarter_no, k
+  from {rows} r left join firm on firm_id = company_id left join topic on topic_id = category_id
+  left join band on band_id = revenue_range_id left join day on published = pub"""
 
 
 _ARR = "coalesce(revenue_actual_usd, (revenue_min_usd + revenue_max_usd) / 2) arr_usd"
-_FACT_CTES = f"with {_INPUTS}, {_DIMS}, {_OBSERVED}, fact as ({_fact('observed')})"
+_FACT_CTES = f"with {_INPUTS}, {_DIMS}, {_CLASSES}, {_OBSERVED}, fact as ({_fact('observed')})"
 _GOLD_CTES = (
     f"{_FACT_CTES}, gold as (select * exclude (k), cast(k as integer) observation_id, {_ARR} from fact)"
 )
-_MART = """select * from gold where (category_group = 'AI/ML'
-    or lower(coalesce(category_name, '')) in
-      ('machine learning','ai/ml','ai & ml','artificial intelligence')
-    or lower(coalesce(industry, '')) in ('ai/ml','machine learning','artificial intelligence'))
-  and year between 2022 and 2024 and arr_usd is not null and arr_usd > 50000000"""
+_MART = """select g.* from gold g
+  where (exists (select 1 from (values ('group', 'AI/ML'), ('name', 'machine learning'), ('name', 'ai/ml'),
+      ('name', 'ai & ml'), ('name', 'artificial intelligence'), ('industry', 'ai/ml'),
+      ('industry', 'machine learning'), ('industry', 'artificial intelligence')) wanted(field, value)
+    where value = case field when 'group' then g.category_group when 'name' then lower(g.category_name)
+      else lower(g.industry) end))
+  and g.year in (2022, 2023, 2024) and g.arr_usd > 5e7"""
 
 _ATTRS = "founded_year, headquarters, employee_count, industry, is_public, stock_ticker"
 _CHANGED = """changed as (select * replace (cast(employee_count + 1 as integer) as employee_count)
@@ -251,12 +288,18 @@ ORACLES: dict[str, str] = {
         cast(sum(case batch_id when 1 then 1 else 0 end) as bigint) n_rows
       from articles group by all""",
     "json_ingest_companies": f"with {_INPUTS} select company_name, {_ATTRS} from companies",
+    "csv_redelivery": f"""with {_INPUTS}
+      select cast(batch_id as integer) delivery, if(batch_id < 3, 'success', 'quarantined') status,
+        count(*) filter (batch_id < 3) n, count(*) filter (batch_id < 3) n_ids,
+        count(word_count) filter (batch_id < 3) n_words
+      from articles where article_id is not null group by batch_id""",
     "json_schema_gate": f"""with {_INPUTS}
-      select case k % 6
+      select case k % 7
         when 0 then '{_ACME}. Missing fields: [''is_public'', ''stock_ticker''].'
-        when 1 then 'loaded' when 2 then '{_ACME}. Wrong type: [''stock_ticker''].'
+        when 1 then 'loaded' when 2 then 'loaded 7203'
         when 3 then '{_ACME}: value must be an object.'
         when 4 then 'Schema mismatch. Expected an object keyed by company_name.'
+        when 5 then '{_ACME}. Wrong type: [''employee_count''].'
         else 'Invalid JSON' end reason, count(*) n
       from articles group by all""",
     "file_ledger_skip": f"""with {_INPUTS}, f as (select author||'.csv' file_name, category,
@@ -355,10 +398,12 @@ ORACLES: dict[str, str] = {
         {_date('published_date')} d, p.currency
       from articles a join parsed p on p.k = a.k left join named on name = company_name""",
     "usd_convert": f"""with {_INPUTS}, {_RATES}, {_PARSED}
-      select k, currency revenue_currency, actual, "min", "max",
-        round(actual * usd_conversion, 2) actual_usd, round("min" * usd_conversion, 2) min_usd,
-        round("max" * usd_conversion, 2) max_usd
-      from parsed left join rates on base_currency = currency""",
+      select k, cur revenue_currency, actual, "min", "max",
+        round(actual * rate, 2) actual_usd, round("min" * rate, 2) min_usd,
+        round("max" * rate, 2) max_usd
+      from (select *, if(k % 13 = 5, 'CHF', currency) cur from parsed) p
+      left join (select base_currency, usd_conversion rate from rates union all select 'CHF', 1.25) r
+        on base_currency = cur""",
     "revenue_bucket": f"""with {_INPUTS}, {_DIMS}, {_OBSERVED}
       select cast(k as integer) k, revenue_actual_usd, revenue_min_actual_usd,
         revenue_max_actual_usd, revenue_range_id from observed""",
@@ -396,6 +441,6 @@ ORACLES: dict[str, str] = {
       matched as (select l.* replace (coalesce(l.company_id, b.company_id) as company_id,
           coalesce(kind, case when b.company_id is not null then 'Fuzzy' end) as kind)
         from latest l left join best b on b.article_id = l.article_id),
-      fact as ({_fact('matched')})
+      {_CLASSES}, fact as ({_fact('matched')})
       select * exclude (k), {_ARR} from fact""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..operators import gates, ledger, marts, match, money, state
 from ..plans import batch, bronze
 from ..schemas import ARTICLE_COLUMNS, COMPANY_FIELDS, conform, empty
 from ..sources import export, landing, seeds
-from ..sources.staging import checkpoint_dir
+from ..sources.staging import checkpoint_dir, stage
 from .inputs import AS_OF, articles, companies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,19 @@ def _export_companies(df: DataFrame, path: str) -> None:
     objects.write.partitionBy("part").text(path)
 
 
+def _deliver(spark: SparkSession, df: DataFrame, path: str, sep: str) -> None:
+    """Write one CSV file at exactly ``path``, in place of what stands there."""
+    folder = f"{path}.parts"
+    df.coalesce(1).write.mode("overwrite").options(header=True, sep=sep, escape='"').csv(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))[0].getPath()
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
 # -- ingest ----------------------------------------------------------------------------
 
 
@@ -143,6 +157,24 @@ def csv_schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def csv_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One path delivered three times: in order, with columns reversed and another separator, without revenue."""
+    root, rows = _scratch(spark), articles(spark, sf_dir).where("article_id is not null")
+    outcomes = []
+    layouts = [(ARTICLE_COLUMNS, ","), (ARTICLE_COLUMNS[::-1], ";"), ([c for c in ARTICLE_COLUMNS if c != "revenue"], ",")]
+    for delivery, (columns, sep) in enumerate(layouts, 1):
+        _deliver(spark, rows.where(F.col("batch_id") == delivery).select(columns), f"{root}/one.csv", sep)
+        files, loaded = bronze.gate_articles(spark, landing.discover(spark, root, "csv"), {"sep": sep})
+        counted = loaded.agg(
+            F.count("article_id").alias("n"), F.count_if(F.col("article_id").startswith("A")).alias("n_ids"),
+            F.count("word_count").alias("n_words"),
+        )
+        status = F.when(F.col("reason").isNull(), "success").otherwise("quarantined").alias("status")
+        outcomes.append(stage(files.select(F.lit(delivery).alias("delivery"), status).crossJoin(counted), "redelivery"))
+    return reduce(DataFrame.unionByName, outcomes)
+
+
 @_query
 def json_ingest_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write companies as JSON objects keyed by name, a thousand or so a file; read them back."""
@@ -154,15 +186,17 @@ def json_ingest_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def json_schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One small JSON document per article, in six shapes, one of them good."""
+    """One small JSON document per article, in seven shapes, two of them good."""
     some = '"founded_year":1999,"headquarters":null,"employee_count":1,"industry":"x"'
     rest = '"is_public":true,"stock_ticker":'
     value = (
-        F.when(F.col("k") % 6 == 0, f'{{"Acme":{{{some}}}}}')
-        .when(F.col("k") % 6 == 1, f'{{"Acme":{{{some},{rest}null}}}}')
-        .when(F.col("k") % 6 == 2, f'{{"Acme":{{{some},{rest}1}}}}')
-        .when(F.col("k") % 6 == 3, '{"Acme":[1]}')
-        .when(F.col("k") % 6 == 4, '["Acme"]')
+        F.when(F.col("k") % 7 == 0, f'{{"Acme":{{{some}}}}}')
+        .when(F.col("k") % 7 == 1, f'{{"Acme":{{{some},{rest}null}}}}')
+        # Text fields take any JSON value; whole numbers must fit.
+        .when(F.col("k") % 7 == 2, f'{{"Acme":{{{some},{rest}7203}}}}')
+        .when(F.col("k") % 7 == 3, '{"Acme":[1]}')
+        .when(F.col("k") % 7 == 4, '["Acme"]')
+        .when(F.col("k") % 7 == 5, f'{{"Acme":{{{some.replace(":1,", ":3000000000,")},{rest}null}}}}')
         .otherwise('{"Acme":')
     )
     objects = articles(spark, sf_dir).select(
@@ -170,7 +204,7 @@ def json_schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     bad, loaded = gates.check_companies(landing.parse_objects(objects))
     outcome = bad.select("path", "reason").unionByName(
-        loaded.select("path", F.lit("loaded").alias("reason"))
+        loaded.select("path", F.concat_ws(" ", F.lit("loaded"), "stock_ticker").alias("reason"))
     )
     return outcome.groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -448,12 +482,15 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def usd_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = articles(spark, sf_dir).select("k", parse_revenue("revenue").alias("r")).select(
-        "k", F.col("r.currency").alias("revenue_currency"), "r.actual", "r.min", "r.max"
+        "k", F.when(F.col("k") % 13 == 5, "CHF").otherwise(F.col("r.currency")).alias("revenue_currency"),
+        "r.actual", "r.min", "r.max",
     )
-    # Without a dollar rate USD converts 1:1; of two current rates the lower id counts.
+    # A currency that texts can't name has a rate too. Without a dollar rate USD converts 1:1; of two current rates the lower id counts.
     rates = seeds.currencies(spark).where("base_currency <> 'USD'")
     rates = rates.unionByName(rates.where("base_currency = 'EUR'").withColumns(
         {"id": F.lit(9), "usd_conversion": F.lit(7.0)}
+    )).unionByName(rates.where("base_currency = 'EUR'").withColumns(
+        {"id": F.lit(10), "base_currency": F.lit("CHF"), "usd_conversion": F.lit(1.25)}
     ))
     amounts = {"actual": "actual_usd", "min": "min_usd", "max": "max_usd"}
     return money.to_usd(parsed, rates, amounts)

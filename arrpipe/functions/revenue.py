@@ -18,7 +18,8 @@ _BLANKS = (
     r" \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
     r"\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_AMOUNT = rf"(?i)([0-9.]+){_WS}*(billion|million|thousand|bn|mm|b|m|k)?"
+_LONGEST_FIRST = "|".join(sorted(_UNITS, key=lambda unit: (-len(unit), unit)))
+_AMOUNT = rf"(?i)([0-9.]+){_WS}*({_LONGEST_FIRST})?"
 
 
 def _without_currency(x: str) -> str:

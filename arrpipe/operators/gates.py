@@ -15,8 +15,8 @@ _MISSING_FIELDS = "Schema mismatch for company '%s'. Missing fields: %s."
 _WRONG_TYPE = "Schema mismatch for company '%s'. Wrong type: %s."
 _INVALID_JSON = "Invalid JSON"
 
-# JSON types a field may have, by its Spark type; VOID is JSON null.
-_JSON_TYPES = {"int": "BIGINT", "string": "STRING", "boolean": "BOOLEAN"}
+# JSON types a field may have, by its Spark type; VOID is JSON null. Text fields take any value as text.
+_JSON_TYPES = {"int": "BIGINT", "boolean": "BOOLEAN"}
 
 
 def _strings(values: list[str]) -> Column:
@@ -37,6 +37,17 @@ def check_headers(headers: DataFrame) -> DataFrame:
     return headers.withColumn("reason", F.when(F.size(missing) > 0, reason))
 
 
+def _wrong_type(field: str, kind: str) -> Column:
+    """Whether a field's JSON value isn't of its type, or a whole number of more than 32 bits."""
+    value = F.variant_get("v", f"$.{field}", "variant")
+    named = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    wrong = ~named.isin("VOID", _JSON_TYPES[kind])
+    if kind == "int":
+        number = F.try_variant_get("v", f"$.{field}", "bigint")
+        wrong = wrong | F.coalesce(~number.between(-(2**31), 2**31 - 1), F.lit(False))
+    return wrong
+
+
 def check_companies(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split (path, entries, is_json) into (path, reason) of bad files and rows of good ones.
 
@@ -56,14 +67,9 @@ def check_companies(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrong = F.array_compact(
         F.array(
             *(
-                F.when(
-                    ~F.coalesce(
-                        F.schema_of_variant(F.variant_get("v", f"$.{f.name}", "variant")),
-                        F.lit("VOID"),
-                    ).isin("VOID", _JSON_TYPES[f.dataType.simpleString()]),
-                    F.lit(f.name),
-                )
+                F.when(_wrong_type(f.name, f.dataType.simpleString()), F.lit(f.name))
                 for f in COMPANY_VALUE.fields
+                if f.dataType.simpleString() in _JSON_TYPES
             )
         )
     )

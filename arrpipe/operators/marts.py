@@ -41,7 +41,8 @@ def observations(
         keyed.withColumn("_rev", parse_revenue("revenue"))
         .withColumns(
             {
-                "company_name_raw": F.col("company_name"),
+                # Raw names are kept by article id: without one there is none.
+                "company_name_raw": F.when(F.col("article_id").isNotNull(), F.col("company_name")),
                 "published_date_as_source": F.col("published_date"),
                 "published_date": parse_date("published_date", as_of.date()),
                 "revenue_as_source": F.col("revenue"),
@@ -89,51 +90,42 @@ def fact_articles(
     as_of: dt.date,
 ) -> DataFrame:
     """Current observations with their company, category, range and date attributes."""
-    s = rows.where("is_current").alias("s")
+    seen = rows.where("is_current").alias("seen")
     joined = (
-        s.join(companies.alias("co"), F.col("co.id") == F.col("s.company_id"), "left")
-        .join(categories.alias("cat"), F.col("cat.id") == F.col("s.category_id"), "left")
-        .join(ranges.alias("rng"), F.col("rng.range_id") == F.col("s.revenue_range_id"), "left")
-        .join(dates.alias("dt"), F.col("dt.date") == F.col("s.published_date"), "left")
-    )
-    kind, staff = F.col("s.company_match_kind"), F.col("co.employee_count")
-    return joined.select(
-        "s.observation_id",
-        "s.article_id",
-        "s.title",
-        "cat.category_group",
-        F.col("cat.name").alias("category_name"),
-        F.coalesce(kind, F.lit("Not matched")).alias("company_matched"),
-        F.when(kind.isNotNull(), F.col("co.company_name"))
-        .otherwise(F.col("s.company_name_raw"))
-        .alias("company_name"),
-        F.coalesce("s.revenue_min_actual_usd", "s.revenue_actual_usd").alias("revenue_min_usd"),
-        F.coalesce("s.revenue_max_actual_usd", "s.revenue_actual_usd").alias("revenue_max_usd"),
-        "s.revenue_actual_usd",
-        F.col("rng.range_order").alias("revenue_range_order"),
-        F.col("rng.range_name").alias("revenue_range_name"),
-        "co.industry",
-        "co.founded_year",
-        (F.lit(as_of.year) - F.col("co.founded_year")).alias("company_age"),
-        "co.headquarters",
-        "co.employee_count",
-        F.when(F.col("co.is_public"), "Public")
-        .when(~F.col("co.is_public"), "Private")
-        .otherwise("Unknown")
-        .alias("public_private_status"),
-        "co.stock_ticker",
-        F.concat_ws(" - ", "co.industry", "cat.category_group").alias("industry_category"),
-        "s.published_date",
-        F.when(staff < 10000, "Small")
-        .when(staff <= 30000, "Medium")
-        .when(staff > 30000, "Large")
-        .otherwise("Unknown")
-        .alias("company_size_category"),
-        "dt.year",
-        "dt.month",
-        F.date_format("s.published_date", "MMM").alias("mon"),
-        F.concat_ws("", F.lit("Q"), F.col("dt.quarter_no")).alias("quarter_no"),
+        seen.join(companies.alias("firm"), F.col("firm.id") == F.col("seen.company_id"), "left")
+        .join(categories.alias("topic"), F.col("topic.id") == F.col("seen.category_id"), "left")
+        .join(ranges.alias("band"), F.col("band.range_id") == F.col("seen.revenue_range_id"), "left")
+        .join(dates.alias("day"), F.col("day.date") == F.col("seen.published_date"), "left")
     )
+    kind, staff = F.col("seen.company_match_kind"), F.col("firm.employee_count")
+    exact = F.col("seen.revenue_actual_usd")
+    public = F.col("firm.is_public")
+    values = {
+        "observation_id": F.col("seen.observation_id"),
+        "article_id": F.col("seen.article_id"),
+        "title": F.col("seen.title"),
+        "category_group": F.col("topic.category_group"),
+        "category_name": F.col("topic.name"),
+        "company_matched": F.coalesce(kind, F.lit("Not matched")),
+        "company_name": F.when(kind.isNotNull(), F.col("firm.company_name")).otherwise(F.col("seen.company_name_raw")),
+        "revenue_min_usd": F.coalesce("seen.revenue_min_actual_usd", exact),
+        "revenue_max_usd": F.coalesce("seen.revenue_max_actual_usd", exact),
+        "revenue_actual_usd": exact,
+        "revenue_range_order": F.col("band.range_order"),
+        "revenue_range_name": F.col("band.range_name"),
+        **{c: F.col(f"firm.{c}") for c in ("industry", "founded_year", "headquarters", "employee_count", "stock_ticker")},
+        "company_age": F.lit(as_of.year) - F.col("firm.founded_year"),
+        "public_private_status": F.when(public, "Public").when(~public, "Private").otherwise("Unknown"),
+        "industry_category": F.concat_ws(" - ", "firm.industry", "topic.category_group"),
+        "published_date": F.col("seen.published_date"),
+        "company_size_category": F.when(staff < 10000, "Small").when(staff <= 30000, "Medium")
+        .when(staff > 30000, "Large").otherwise("Unknown"),
+        "year": F.col("day.year"),
+        "month": F.col("day.month"),
+        "mon": F.date_format("seen.published_date", "MMM"),
+        "quarter_no": F.concat_ws("", F.lit("Q"), F.col("day.quarter_no")),
+    }
+    return joined.select(*(value.alias(name) for name, value in values.items()))
 
 
 def gold_fact(fact: DataFrame, as_of: dt.datetime) -> DataFrame:

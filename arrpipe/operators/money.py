@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The currencies ``parse_revenue`` can return.
-_PARSED_CURRENCIES = ["USD", "EUR", "GBP", "JPY"]
-
 
 def to_usd(
     df: DataFrame, rates: DataFrame, amounts: dict[str, str], currency: str = "revenue_currency"
 ) -> DataFrame:
     """Add ``amounts`` (input column to output column) in USD at the current rate.
 
-    A currency without a rate gives NULL, but USD falls back to 1:1. Of several
-    current rates the lowest id counts. At most four rates remain after the
-    filter, so the broadcast is bounded whatever the size of the rate table.
+    Any currency that the table has a current rate for is converted. One without gives
+    NULL, but USD falls back to 1:1. Of several current rates the lowest id counts. The
+    rates are unique by currency; how they are joined is left to the planner, which knows their size.
     """
     current = (
-        rates.where(F.col("is_current") & F.col("base_currency").isin(_PARSED_CURRENCIES))
+        rates.where("is_current")
         .groupBy(F.col("base_currency").alias(currency))
         .agg(F.min_by("usd_conversion", "id").alias("_rate"))
     )
     rate = F.coalesce("_rate", F.when(F.col(currency) == "USD", 1.0))
-    out = df.join(F.broadcast(current), currency, "left")
+    out = df.join(current, currency, "left")
     usd = {name: F.round(F.col(source) * rate, 2) for source, name in amounts.items()}
     kept = [c for c in df.columns if c not in usd]
     return out.select(*kept, *(value.alias(name) for name, value in usd.items()))

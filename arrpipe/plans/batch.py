@@ -20,15 +20,17 @@ def run(
     as_of: dt.datetime | None = None,
     csv_options: dict | None = None,
     suffixes: tuple[str, str] = ("csv", "json"),
+    identity: str = "name",
 ) -> Tables:
     """Run bronze, silver and gold, publish the results together, then export.
 
     ``as_of`` stands for "now" wherever the batch needs it. The session time zone should
-    be UTC. ``suffixes`` are those of article and company files.
+    be UTC. ``suffixes`` are those of article and company files. Files are known by base name and time,
+    or by path and time where ``identity`` is "path".
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     tables = Tables(spark, warehouse)
-    run_bronze(spark, tables, source, as_of, csv_options, suffixes)
+    run_bronze(spark, tables, source, as_of, csv_options, suffixes, identity)
     run_silver(spark, tables, as_of)
     run_gold(tables, as_of)
     tables.publish(as_of)

@@ -15,7 +15,18 @@ from ..sources.tables import Tables
 
 def _paths(files: DataFrame) -> list[str]:
     # The reader needs names, and its file index holds them on the driver anyway.
-    return [row["path"] for row in files.where("not is_empty").select("path").collect()]
+    return [row["path"] for row in files.where("not is_empty and not is_hidden").select("path").collect()]
+
+
+_HIDDEN = "File or folder name starts with '_' or '.': not readable as data."
+
+
+def _kept_out(files: DataFrame) -> DataFrame:
+    """(path, same_reason) of files that aren't looked into: hidden ones and later copies."""
+    reason = F.when(F.col("is_hidden"), _HIDDEN).when(
+        F.col("same_as").isNotNull(), F.concat(F.lit("Same name and time as "), "same_as")
+    )
+    return files.withColumn("_out", reason)
 
 
 def gate_articles(
@@ -24,7 +35,7 @@ def gate_articles(
     """Split CSV files at the gate: (files with reason, rows of the files without one)."""
     paths = _paths(files)
     names = (
-        landing.csv_headers(spark, paths)
+        landing.csv_headers(spark, paths, options)
         if paths
         else spark.createDataFrame([], "path string, names array<string>")
     )
@@ -63,10 +74,17 @@ def run_bronze(
     as_of: dt.datetime,
     options: dict | None = None,
     suffixes: tuple[str, str] = ("csv", "json"),
+    identity: str = "name",
 ) -> None:
-    """Load the files below ``source`` that no earlier run has loaded or kept out."""
+    """Load the files below ``source`` that no earlier run has loaded or kept out.
+
+    Of files with one ``identity`` in a run the first in path order is loaded, the others are logged.
+    """
     log = tables.appended("bronze_file_log")
-    csvs, jsons = (ledger.pending(landing.discover(spark, source, s), log) for s in suffixes)
+    found = [ledger.pending(landing.discover(spark, source, s), log, identity=identity) for s in suffixes]
+    found = [_kept_out(ledger.repeated(files, identity)) for files in found]
+    csvs, jsons = (files.where("_out is null") for files in found)
+    out = [files.where("_out is not null").select(*ledger.FILE_KEY, F.col("_out").alias("reason"), "path") for files in found]
     articles = tables.appended("bronze_articles")
     batch_id = articles.agg((F.coalesce(F.max("batch_id"), F.lit(0)) + 1).alias("b")).first()["b"]
     now = F.lit(as_of).cast("timestamp")
@@ -83,7 +101,7 @@ def run_bronze(
             current, companies.withColumn("insert_datetime", now), "company_name", "_order"
         ),
     )
-    files = csv_files.select(*ledger.FILE_KEY, "reason").unionByName(
-        json_files.select(*ledger.FILE_KEY, "reason")
-    )
+    files = csv_files.select(*ledger.FILE_KEY, "reason", "path")
+    for more in (json_files.select(*ledger.FILE_KEY, "reason", "path"), *out):
+        files = files.unionByName(more)
     tables.append("bronze_file_log", ledger.log_rows(files, batch_id, as_of))

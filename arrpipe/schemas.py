@@ -47,7 +47,7 @@ _COLUMNS = {
     "bronze_company_metadata": f"company_name string, {_COMPANY}"
     + ", file_name string, file_timestamp timestamp, insert_datetime timestamp, is_current boolean",
     "bronze_file_log": "batch_id int, file_name string, file_timestamp timestamp, reason string, "
-    "status string, quarantined_at timestamp, processed_at timestamp, alert_processed string",
+    "status string, quarantined_at timestamp, processed_at timestamp, alert_processed string, path string",
     "dim_company": f"id int, company_name string, {_COMPANY}"
     + ", insert_batch_id int, updated_batch_id int, inserted_at timestamp, updated_at timestamp",
     "dim_category": "id int, name string, category_group string, insert_datetime timestamp",

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import Counter
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import ARTICLE_COLUMNS
+from .staging import stage
 
 
 def decoded(path: str) -> Column:
@@ -26,28 +30,43 @@ def _reader(spark: SparkSession, suffix: str):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}")
 
 
+def _unseen(spark: SparkSession, root: str, suffix: str) -> list[tuple]:
+    """(path, time in ms, hidden) of files that Spark's readers leave out: empty ones, and names that start
+    with '_' or '.', or lie below such a folder. Listed with the file system; only these are kept."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = len([p for p in fs.makeQualified(base).toUri().getPath().split("/") if p])
+    found, files = [], fs.listFiles(base, True)
+    while files.hasNext():
+        status = files.next()
+        path = status.getPath()
+        if not path.getName().endswith(f".{suffix}"):
+            continue
+        parts = [p for p in path.toUri().getPath().split("/") if p][top:]
+        hidden = any(p[0] in "_." for p in parts)
+        if hidden or status.getLen() == 0:
+            found.append((re.sub(r"^file:/+", "file:/", path.toUri().toString()), status.getModificationTime(), hidden))
+    return found
+
+
 def discover(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """(path, file_name, file_timestamp, is_empty) of every file below ``root``.
+    """(path, file_name, file_timestamp, is_empty, is_hidden) of every file below ``root``.
 
-    Only listing data is read. Spark plans no read of zero-byte files, so these are the
-    listed paths that the scan does not return; their timestamp is not known and stands at
-    the epoch.
+    Only listing data is read.
     """
     files = _reader(spark, suffix).format("binaryFile").load(root)
-    read = files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("modificationTime").alias("file_timestamp")
+    read = files.where("length > 0").select(
+        F.col("_metadata.file_path").alias("path"), F.col("modificationTime").alias("file_timestamp"),
+        F.lit(False).alias("is_empty"), F.lit(False).alias("is_hidden"),
     )
-    listed = spark.createDataFrame(
-        [(re.sub(r"^file:/+", "file:/", p),) for p in files.inputFiles()], "path string"
+    rest = spark.createDataFrame(_unseen(spark, root, suffix), "path string, ms long, is_hidden boolean").select(
+        "path", F.timestamp_millis("ms").alias("file_timestamp"), (~F.col("is_hidden")).alias("is_empty"), "is_hidden"
     )
-    if listed.isEmpty():
+    found = read.unionByName(rest)
+    if found.isEmpty():
         raise FileNotFoundError(f"no {suffix} files found under {root}")
-    return listed.join(read, "path", "left").select(
-        "path",
-        file_name("path").alias("file_name"),
-        F.coalesce("file_timestamp", F.timestamp_seconds(F.lit(0))).alias("file_timestamp"),
-        F.col("file_timestamp").isNull().alias("is_empty"),
-    )
+    return found.select("path", file_name("path").alias("file_name"), "file_timestamp", "is_empty", "is_hidden")
 
 
 def _literal(paths: Iterable[str]) -> list[str]:
@@ -55,43 +74,51 @@ def _literal(paths: Iterable[str]) -> list[str]:
     return [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(p)) for p in paths]
 
 
-def csv_headers(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, names): the column names in the first non-blank line of each file.
+def _cells(lines: pd.Series, options: dict) -> pd.Series:
+    """Header lines cut into column names.
 
-    Blank names and names that repeat (letter case aside) get the replacement the CSV
-    reader gives them.
+    Blank names, and names that repeat (letter case aside), get the replacement the CSV reader gives them.
+    """
+    form = {"delimiter": options.get("sep", options.get("delimiter", ",")), "quotechar": options.get("quote", '"') or None}
+    escape = options.get("escape", "\\")
+    form["escapechar"] = escape if escape and escape != form["quotechar"] else None
+    form["quoting"] = csv.QUOTE_MINIMAL if form["quotechar"] else csv.QUOTE_NONE
+    out = []
+    for line in lines:
+        names = next(csv.reader([line], **form), [])
+        repeats = Counter(n.lower() for n in names)
+        out.append([f"_c{i}" if not n else f"{n}{i}" if repeats[n.lower()] > 1 else n for i, n in enumerate(names)])
+    return pd.Series(out)
+
+
+def csv_headers(spark: SparkSession, paths: list[str], options: dict | None = None) -> DataFrame:
+    """(path, names): the column names in the first line of each file that is neither blank nor a comment.
+
+    The rows are staged, not cached: Spark finds cached plans by their paths, and a file that comes again
+    under its path would be answered with its old header.
     """
+    options = {k: v for k, v in (options or {}).items() if v is not None}
+    reader = spark.read.options(**{k: v for k, v in options.items() if k in ("encoding", "charset", "lineSep")})
+    comment = options.get("comment")
     lines = (
-        spark.read.text(_literal(paths))
+        reader.text(_literal(paths))
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("start"),
             "value",
         )
         .where("start = 0 and trim(value) <> ''")
-        .withColumn("at", F.monotonically_increasing_id())
+    )
+    if comment:
+        lines = lines.where(~F.startswith("value", F.lit(comment)))
+    first = (
+        lines.withColumn("at", F.monotonically_increasing_id())
         .groupBy("path")
         .agg(F.min_by("value", "at").alias("header"))
-    ).persist()  # one short row per file, read three times below
-    width = lines.agg(F.max(F.size(F.split("header", ","))).alias("n")).first()["n"] or 1
-    cells = F.from_csv("header", ", ".join(f"c{i} string" for i in range(width)))
-    # A header narrower than the widest one is padded with NULLs: cut them off again.
-    return (
-        lines.select("path", cells.alias("cells"))
-        .select("path", F.array(*(F.col(f"cells.c{i}") for i in range(width))).alias("raw"))
-        .withColumn(
-            "raw",
-            F.expr("slice(raw, 1, coalesce(array_max(transform(raw, "
-                   "(n, i) -> case when n is not null then i + 1 end)), 0))"),
-        )
-        .select(
-            "path",
-            F.expr(
-                "transform(raw, (n, i) -> case when coalesce(n, '') = '' then concat('_c', i) "
-                "when size(filter(raw, m -> lower(m) = lower(n))) > 1 then concat(n, i) else n end)"
-            ).alias("names"),
-        )
     )
+    # One short row per file: a vectorised cut into a list, whatever the width of a header.
+    cut = F.pandas_udf(lambda lines: _cells(lines, options), "array<string>")
+    return stage(first.select("path", cut("header").alias("names")), "csv-headers")
 
 
 def read_csv(

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage and scratch tables, from the session.
 
-    Only where the session names none, as in a plain local test, is one made.
+    Only a local session, as in a plain test, may name none: one is made for it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("the session must name a shared folder in spark.checkpoint.dir")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="arrpipe-"))

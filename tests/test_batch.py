@@ -144,3 +144,44 @@ def test_reader_options(spark, tmp_path):
     for options, n in ((None, 2), ({"multiLine": True}, 1)):
         _, rows = bronze.gate_articles(spark, files, options)
         assert rows.count() == n
+
+
+def test_redelivery_under_one_path(spark, tmp_path):
+    source, path = tmp_path / "in", tmp_path / "in" / "a.csv"
+    deliveries = [(ARTICLE_COLUMNS, ","), (ARTICLE_COLUMNS[::-1], ";"), ([c for c in ARTICLE_COLUMNS if c != "revenue"], ",")]
+    seen = []
+    for header, sep in deliveries:
+        put_csv(path, header, {"article_id": "7", "word_count": "99"})
+        path.write_text(path.read_text().replace(",", sep))
+        files, rows = bronze.gate_articles(spark, landing.discover(spark, str(source), "csv"), {"sep": sep})
+        seen.append((files.first()["reason"] is None, [(r["article_id"], r["word_count"], r["revenue"]) for r in rows.collect()]))
+    assert seen == [(True, [("7", "99", "$60M")]), (True, [("7", "99", "$60M")]), (False, [])]
+
+
+def test_wide_header(spark, tmp_path):
+    put_csv(tmp_path / "in" / "wide.csv", [*(f"x{i}" for i in range(2000)), *ARTICLE_COLUMNS], {"title": "w"})
+    put_csv(tmp_path / "in" / "a.csv", ARTICLE_COLUMNS, {"title": "a"})
+    _, rows = bronze.gate_articles(spark, landing.discover(spark, str(tmp_path / "in"), "csv"))
+    assert sorted(r["title"] for r in rows.collect()) == ["a", "w"]
+
+
+def test_hidden_and_repeated_files(spark, tmp_path):
+    source = tmp_path / "in"
+    for name in ("_x.csv", ".x.csv", "_dir/x.csv", "one/same.csv", "two/same.csv", "two/empty.csv"):
+        put_csv(source / name, ARTICLE_COLUMNS, {"title": name})
+        os.utime(source / name, (1_700_000_000, 1_700_000_000))
+    (source / "two" / "empty.csv").write_text("")
+    os.utime(source / "two" / "empty.csv", (1_700_000_000, 1_700_000_000))
+    (source / "c.json").write_text(json.dumps({"Acme": {**FIRM, "stock_ticker": 7203}}))
+    (source / "big.json").write_text(json.dumps({"Big": {**FIRM, "employee_count": 3_000_000_000}}))
+    for identity, titles in (("name", ["one/same.csv"]), ("path", ["one/same.csv", "two/same.csv"])):
+        tables = run(spark, str(source), str(tmp_path / identity), as_of=DAY[0], identity=identity)
+        assert sorted(r["title"] for r in tables.appended("bronze_articles").collect()) == titles
+        log = {r["path"].split("/in/")[1]: r for r in tables.appended("bronze_file_log").collect()}
+        assert set(log) == {"_x.csv", ".x.csv", "_dir/x.csv", "one/same.csv", "two/same.csv", "two/empty.csv", "c.json", "big.json"}
+        assert all(log[n]["status"] == "quarantined" and "starts with" in log[n]["reason"] for n in ("_x.csv", ".x.csv", "_dir/x.csv"))
+        assert log["two/empty.csv"]["file_timestamp"] == dt.datetime.fromtimestamp(1_700_000_000, dt.timezone.utc).replace(tzinfo=None)
+        assert log["c.json"]["status"] == "success" and log["big.json"]["reason"].endswith("Wrong type: ['employee_count'].")
+        assert [r["stock_ticker"] for r in tables.latest("dim_company").collect()] == ["7203"]
+        again = run(spark, str(source), str(tmp_path / identity), as_of=DAY[1], identity=identity)
+        assert again.appended("bronze_file_log").count() == len(log)
