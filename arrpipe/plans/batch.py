@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import SparkSession
 
+from ..sources.staging import scratch
 from ..sources.tables import Tables
 from .bronze import run_bronze
 from .gold import export, run_gold
@@ -30,10 +31,11 @@ def run(
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     tables = Tables(spark, warehouse)
-    run_bronze(spark, tables, source, as_of, csv_options, suffixes, identity)
-    run_silver(spark, tables, as_of)
-    run_gold(tables, as_of)
-    tables.publish(as_of)
+    with scratch(spark):
+        run_bronze(spark, tables, source, as_of, csv_options, suffixes, identity)
+        run_silver(spark, tables, as_of)
+        run_gold(tables, as_of)
+        tables.publish(as_of)
     if output:
         export(tables, output)
     return tables

@@ -185,3 +185,18 @@ def test_hidden_and_repeated_files(spark, tmp_path):
         assert [r["stock_ticker"] for r in tables.latest("dim_company").collect()] == ["7203"]
         again = run(spark, str(source), str(tmp_path / identity), as_of=DAY[1], identity=identity)
         assert again.appended("bronze_file_log").count() == len(log)
+
+
+def test_a_run_leaves_no_staged_tables(spark, tmp_path):
+    from arrpipe.sources.staging import checkpoint_dir
+
+    put_csv(tmp_path / "in" / "a.csv", ARTICLE_COLUMNS, {"title": "a"})
+    (tmp_path / "in" / "c.json").write_text(json.dumps({"Acme": FIRM}))
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    run(spark, str(tmp_path / "in"), str(tmp_path / "tables"), as_of=DAY[0])
+    assert set(os.listdir(folder)) == before
+    (tmp_path / "in" / "b.csv").write_text((tmp_path / "in" / "a.csv").read_text())
+    with pytest.raises(Exception):
+        run(spark, str(tmp_path / "in"), str(tmp_path / "tables"), as_of=DAY[1], csv_options={"mode": "no such mode", "sep": ""})
+    assert set(os.listdir(folder)) == before
