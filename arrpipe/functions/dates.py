@@ -13,31 +13,51 @@ _MONTHS = (
     "october", "november", "december",
 )
 _MONTH = "(" + "|".join(f"{m}|{m[:3]}" for m in _MONTHS) + r"|sept)\.?"
-_DAY, _YEAR = r"([0-9]{1,2})(?:st|nd|rd|th)?", "([0-9]{4})"
-# A full date anywhere in the text: the leftmost one decides, valid or not. In order:
-# 2024-3-5, 3/5/2024, March 5, 2024, 5 March 2024, 20240305.
-_FULL = "|".join(
-    (
-        r"(?<![0-9])([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?![0-9])",
-        r"(?<![0-9])([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?![0-9])",
-        rf"(?<![\p{{L}}0-9]){_MONTH}\s+{_DAY},?\s+{_YEAR}(?![\p{{L}}0-9])",
-        rf"(?<![\p{{L}}0-9]){_DAY}\s+{_MONTH},?\s+{_YEAR}(?![\p{{L}}0-9])",
-        r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])",
-    )
+_DAY, _YEAR = r"([0-9]{1,2})(?:st|nd|rd|th)?(?:\s+of)?", "([0-9]{4})"
+_GAP, _START, _END = r"(?:\s+|\s*-\s*)", r"(?<![\p{L}0-9])", r"(?![\p{L}0-9])"
+# Shapes with the meaning of their groups: year, month, day, or n, a number before a day that is
+# the month unless it can't be. A full date may stand anywhere in the text: the leftmost one decides,
+# valid or not. In order: 2024-3-5, 3/5/2024 or 3/5/24, March 5, 2024, 5 March 2024, 2024 March 5, 20240305.
+_FULL = (
+    (r"(?<![0-9])([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})(?![0-9])", "ymd"),
+    (r"(?<![0-9])(?<![0-9][.])([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})(?![0-9])(?![.][0-9])", "ndy"),
+    (rf"{_START}{_MONTH}{_GAP}{_DAY},?{_GAP}{_YEAR}{_END}", "mdy"),
+    (rf"{_START}{_DAY}{_GAP}{_MONTH},?{_GAP}{_YEAR}{_END}", "dmy"),
+    (rf"{_START}{_YEAR}{_GAP}{_MONTH}{_GAP}{_DAY}{_END}", "ymd"),
+    (r"(?<![0-9])([0-9]{4})([0-9]{2})([0-9]{2})(?![0-9])", "ymd"),
 )
-# A partial date must be the whole text: March 2024, 2024, 5 March, March 5.
-_PARTIAL = "|".join(
-    (rf"{_MONTH},?\s+{_YEAR}", _YEAR, rf"{_DAY}\s+{_MONTH}", rf"{_MONTH}\s+{_DAY}")
+# A partial date must be the whole text: March 2024, 2024, 5 March, March 5, 2024-03, 03/2024. A month with
+# a year may also stand inside a text that has no full date.
+_PARTIAL = (
+    (_YEAR, "y"), (rf"{_DAY}\s+{_MONTH}", "dm"), (rf"{_MONTH}\s+{_DAY}", "md"),
+    (r"([0-9]{4})[-/.]([0-9]{1,2})", "ym"), (r"([0-9]{1,2})[-/.]([0-9]{4})", "my"),
 )
-_SHAPES = rf"(?is)^(?:.*?(?:{_FULL}).*|\s*(?:{_PARTIAL})\s*)\z"
-# Year, month, day and, where month and day may be swapped, a non-empty mark. Groups of
-# shapes that did not match are empty.
-_PARTS = "~$1$6$9$12$13$17$18~$2$4$7$11$14$16$20$21~$3$5$8$10$15$19$22~$4".replace("~", r"\u0001")
+_INSIDE = ((rf"{_START}{_MONTH},?{_GAP}{_YEAR}{_END}", "my"),)
+
+
+def _either(shapes: tuple) -> str:
+    return "|".join(shape for shape, _ in shapes)
+
+
+_SHAPES = rf"(?is)^(?:.*?(?:{_either(_FULL)}).*|\s*(?:{_either(_PARTIAL)})\s*|.*?(?:{_either(_INSIDE)}).*)\z"
+
+
+def _groups(kinds: str) -> str:
+    """References to all groups of the kinds; those of shapes that did not match are empty."""
+    meaning = "".join(letters for _, letters in (*_FULL, *_PARTIAL, *_INSIDE))
+    return "".join(f"${i}" for i, letter in enumerate(meaning, 1) if letter in kinds)
+
+
+# Year, month, day and, where month and day may be swapped, a non-empty mark.
+_PARTS = r"\u0001".join(("", _groups("y"), _groups("mn"), _groups("d"), _groups("n")))
 
 
 def parse_date_sql(x: str, as_of: str) -> str:
     names = "".join(m[:3] for m in _MONTHS)
-    year = f"if(p[1] = '', year({as_of}), int(p[1]))"
+    # Two digits name the year within fifty years of ``as_of``.
+    near = f"(year({as_of}) div 100 * 100 + int(p[1]))"
+    century = f"{near} + case when {near} >= year({as_of}) + 50 then -100 when {near} < year({as_of}) - 50 then 100 else 0 end"
+    year = f"case length(p[1]) when 0 then year({as_of}) when 2 then {century} else int(p[1]) end"
     month = (
         f"case when p[2] = '' then month({as_of}) when p[2] rlike '^[0-9]' then int(p[2]) "
         f"else int((instr('{names}', lower(left(p[2], 3))) + 2) div 3) end"

@@ -86,6 +86,17 @@ DATES = {
 }
 
 
+def test_more_date_shapes(spark):
+    shapes = {
+        "2024/03/05": "2024-03-05", "03-05-2024": "2024-03-05", "31.12.2023": "2023-12-31", "3/5/24": "2024-03-05",
+        "5-Mar-2024": "2024-03-05", "Mar-05-2024": "2024-03-05", "2024 March 5": "2024-03-05", "5th of March 2024": "2024-03-05",
+        "2024-03": "2024-03-30", "03/2024": "2024-03-30", "report for March 2023, final": "2023-03-30", "1/2/77": "1977-01-02",
+        "1/2/75": "2075-01-02", "at 10.11.12.13": None, "13/2024": None, "0/0/24": None,
+    }
+    out = evaluate(spark, list(shapes), fn.parse_date("x", AS_OF).cast("string"))
+    assert dict(zip(shapes, out)) == shapes
+
+
 def test_dates(spark):
     out = evaluate(spark, list(DATES), fn.parse_date("x", AS_OF).cast("string"))
     assert dict(zip(DATES, out)) == DATES
