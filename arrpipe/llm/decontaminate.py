@@ -301,5 +301,6 @@ def scan(
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = scan(docs, items).where("contaminated").select(F.col("key").alias("_bad")).distinct()
-    return docs.join(bad, doc_key() == F.col("_bad"), "left_anti")
+    bad = scan(docs, items).where("contaminated").select(F.col("key").alias("_key")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(row, doc_key().alias("_key")).join(bad, "_key", "left_anti").select("_row.*")

@@ -46,7 +46,7 @@ def test_equals_scan(spark, limit):
 
 
 def test_clean_keeps_the_rest_with_all_columns(spark):
-    docs = spark.createDataFrame([(*r, 7) for r in DOCS], "doc_id long, text string, key int")
+    docs = spark.createDataFrame([(*r, 7) for r in DOCS], "doc_id long, text string, key int").selectExpr("*", "1 as _key", "2 as _row")
     kept = d.clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
     bad = [x[0] for x in brute() if x[5]]
     assert sorted(str(r.doc_id) for r in kept) == sorted(x[0] for x in brute() if not x[5])
