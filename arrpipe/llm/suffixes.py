@@ -41,8 +41,8 @@ from .common import binary_column, id_key, mix64, pack_columns, pieces, release,
 LENGTH = 50
 TRIGGER = 16
 BUCKET_BYTES = 8_000_000  # text per bucket, some 500,000 phrases
-_CHUNK = 500_000
-_FLUSH = 600_000
+_CHUNK = 250_000
+_FLUSH = 300_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
