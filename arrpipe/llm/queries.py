@@ -109,7 +109,8 @@ from p left join kept using (k)
 @_query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.sizes(table(spark, sf_dir, "documents"))
-    chosen = mix.apply(rows.drop("u"), mix.plan(rows))
+    # Without the rounds, as the SQL twin says it.
+    chosen = mix.apply(rows.drop("u"), mix.plan(rows, fill=False))
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

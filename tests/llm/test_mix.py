@@ -46,3 +46,25 @@ def test_edges(spark):
     assert mix.mixed(empty).collect() == []
     blank = _docs(spark, [(1, "a", None), (2, "b", "")])
     assert mix.mixed(blank).collect() == []
+
+
+def _near(spark, rows, words):
+    docs = _docs(spark, rows)
+    sizes = mix.sizes(docs)
+    chosen = mix.apply(docs, mix.plan(sizes)).withColumn("size", mix.size_words())
+    per = chosen.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(p.taken - p.target) <= words for p in per), per
+
+
+def test_a_document_with_half_of_the_words(spark):
+    rows = [(i, "a", "x " * 20) for i in range(200)] + [(2000 + i, "b", "y " * 20) for i in range(200)]
+    # The long document's id puts it first in the order of its source, or within what the source takes.
+    for long in (1024, 1008):
+        _near(spark, [*rows, (long, "b", "y " * 4000)], 20)
+
+
+def test_rounds_step_over_many(spark):
+    r = random.Random(5)
+    rows = [(i, "a", "x " * 20) for i in range(400)] + [(None, "b", "y " * 30)] * 60
+    rows += [(1000 + i, "b", "y " * r.choice([5, 5, 5, 5, 40, 300, 1500])) for i in range(300)]
+    _near(spark, rows, 200)  # a hundredth of b's room
