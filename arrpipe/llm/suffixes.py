@@ -20,8 +20,10 @@ order. The order is needed to a depth of ``LENGTH`` bytes only, and a phrase car
 parse to that depth, so dictionary and parse together give the corpus order; runs of equal prefixes take
 the run's least document.
 
-Work is dealt over buckets of the trigger hash, whose number follows the input. Long documents are
-parsed in segments.
+Work is dealt over buckets of the trigger hash, whose number follows the input. Triggers of more than about ``HOT`` phrases, as at
+the edges of a passage that many documents share, are found in a sample of the documents. Their phrases are dealt by the
+phrase hash, and those left open string by string, by 128 bits of rolling hashes and with the least document combined in
+the task. The sample decides how phrases are dealt only; results don't depend on it. Long documents are parsed in segments.
 
 Defined results: a null text is empty; null ids count as greater than all others; rows with the same id don't
 remove each other's bytes; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -33,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +44,15 @@ from .common import binary_column, id_key, mix64, pack_columns, pieces, release,
 LENGTH = 50
 TRIGGER = 16
 BUCKET_BYTES = 8_000_000  # text per bucket, some 500,000 phrases
+HOT = 20_000  # phrases of one trigger
+SAMPLE_BYTES = 16_000_000  # of text, or a 256th of it if that is more
 _CHUNK = 250_000
 _FLUSH = 300_000
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _POSITION = np.uint64((1 << 24) - 1)
 _BYTES = np.random.default_rng(50).integers(0, 2**64, 256, dtype=np.uint64)
+_OTHER_BYTES = np.random.default_rng(51).integers(0, 2**64, 256, dtype=np.uint64)
+_NONE = np.zeros(0, np.uint64)
 
 _RECORDS_DDL = "bucket int, kind int, doc long, tag long, blob binary"
 _RECORDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("blob", pa.binary())])
@@ -146,39 +153,73 @@ def _spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray)
     return [(int(doc[a]), int(tag[a]), *_merged(start[a:b], end[a:b])) for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
 
 
-def _parse(buckets: int):
+def _phrase_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of rows (doc, tag, data): trigger, phrase, doc, tag, start and length, chunk by chunk."""
+    for batch in batches:
+        docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        data, offsets = binary_column(batch.column(2))
+        i = 0
+        while i < len(docs):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, side="right")) - 1)
+            for cut in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), _CHUNK) if j == i + 1 else [int(offsets[i])]:
+                if j == i + 1:  # one document, in segments that overlap by LENGTH - 1
+                    part = data[cut : min(cut + _CHUNK + LENGTH - 1, int(offsets[j]))]
+                    ends = np.array([len(part)])
+                else:
+                    part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
+                trigger, phrase, text, start, length = phrases(part, ends)
+                yield trigger, phrase, docs[i + text], tags[i + text], start + (cut - int(offsets[i])), length
+            i = j
+
+
+def _parse(buckets: int, hot: np.ndarray = _NONE):
     """Rows (doc, tag, data) to packed phrase records per bucket, and spans settled within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
-        for batch in batches:
-            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = binary_column(batch.column(2))
-            i = 0
-            while i < len(docs):
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _CHUNK, side="right")) - 1)
-                for cut in range(int(offsets[i]), max(int(offsets[j]), int(offsets[i]) + 1), _CHUNK) if j == i + 1 else [int(offsets[i])]:
-                    if j == i + 1:  # one document, in segments that overlap by LENGTH - 1
-                        part = data[cut : min(cut + _CHUNK + LENGTH - 1, int(offsets[j]))]
-                        ends = np.array([len(part)])
-                    else:
-                        part, ends = data[offsets[i] : offsets[j]], offsets[i + 1 : j + 1] - offsets[i]
-                    trigger, phrase, text, start, length = phrases(part, ends)
-                    held.append((trigger, phrase, docs[i + text], tags[i + text], start + (cut - int(offsets[i])), length))
-                    count += len(trigger)
-                    if count >= _FLUSH:
-                        yield _packed(held, buckets)
-                        held, count = [], 0
-                        trim()
-                i = j
+        for columns in _phrase_columns(batches):
+            held.append(columns)
+            count += len(columns[0])
+            if count >= _FLUSH:
+                yield _packed(held, buckets, hot)
+                held, count = [], 0
+                trim()
         if count:
-            yield _packed(held, buckets)
+            yield _packed(held, buckets, hot)
 
     return run
 
 
-def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, tag, data) to triggers and their numbers of phrases, chunk by chunk."""
+    for trigger, *_ in _phrase_columns(batches):
+        value, n = np.unique(trigger, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int64))], names=["trigger", "n"])
+
+
+def _hot_triggers(rows: DataFrame, total: int, hot: int) -> np.ndarray:
+    """Sorted triggers with at least some ``hot`` phrases, from a sample; at most two per ``hot`` phrases."""
+    every = min(256, max(1, total // SAMPLE_BYTES))
+    sample = rows.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(every)) == 0)
+    counted = sample.mapInArrow(_count, "trigger long, n long").groupBy("trigger").agg(F.sum("n").alias("n"))
+    found = counted.where(F.col("n") >= max(2, hot / every / 2)).select("trigger").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def _among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are in ``some``, which is sorted."""
+    if not len(some):
+        return np.zeros(len(values), dtype=bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Even buckets; triggers are least hashes, so nearly all of them are small numbers before they are scrambled."""
+    return (mix64(values) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def _packed(held: list[tuple[np.ndarray, ...]], buckets: int, hot: np.ndarray = _NONE) -> pa.RecordBatch:
     trigger, phrase, doc, tag, start, length = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.argsort(trigger)
     again = np.zeros(len(order), dtype=bool)
@@ -199,7 +240,10 @@ def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
             for name, value in zip(_RECORDS.names, row, strict=True):
                 out[name].append(value)
     order = order[keep[order]]
-    bucket = (trigger[order] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    dealt = np.where(_among(trigger[order], hot), phrase[order], trigger[order])
+    bucket = _bucket(dealt, buckets)
+    by_bucket = np.argsort(bucket, kind="stable")  # triggers stay in order within a bucket
+    order, bucket = order[by_bucket], bucket[by_bucket]
     cuts = np.flatnonzero(_runs(bucket)) if len(order) else np.zeros(0, np.int64)
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         part = order[a:b]
@@ -237,8 +281,8 @@ def _span_rows(spans: list) -> pa.Table:
     return _rows(False, np.repeat([d for d, *_ in spans], sizes), np.repeat([t for _, t, *_ in spans], sizes), start, end - start)
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """One bucket: spans of phrases that a smaller document holds, and the phrases left open."""
+def _judge(table: pa.Table, hot: np.ndarray = _NONE) -> pa.Table:
+    """One bucket: spans of phrases that a smaller document holds, and the phrases left open, all first ones of a hot trigger among them."""
     spans, parts = [], []
     for kind, doc, tag, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "doc", "tag", "blob")), strict=True):
         if kind:
@@ -256,7 +300,7 @@ def _judge(table: pa.Table) -> pa.Table:
     again = np.zeros(len(order), dtype=bool)
     again[1:] |= same
     again[:-1] |= same
-    some = order[again]
+    some = order[again | _among(trigger[order], hot)]
     some = some[np.lexsort((doc[some], phrase[some], trigger[some]))]
     trigger, phrase, doc, tag, start, length = (c[some] for c in (trigger, phrase, doc, tag, start, length))
     if not len(some):
@@ -267,51 +311,112 @@ def _judge(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(new_trigger)
     spread = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
     several = np.add.reduceat(new_phrase.astype(np.int64), heads) > 1
-    undecided = ~later & (spread & several)[where]
+    undecided = ~later & ((spread & several)[where] | _among(trigger, hot))
     spans += _spans(doc[later], tag[later], start[later], start[later] + length[later])
     left = _rows(True, doc[undecided], tag[undecided], start[undecided], length[undecided], trigger[undecided], phrase[undecided])
     return pa.concat_tables([_span_rows(spans), left])
 
 
-_FETCHED_DDL = "bucket int, doc long, tag long, start int, trigger long, bytes binary"
+_FETCHED_DDL = "bucket int, kind int, doc long, tag long, start int, trigger long, bytes binary"
+_FETCHED = pa.schema(
+    [
+        ("bucket", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()),
+        ("trigger", pa.int64()), ("bytes", pa.binary()),
+    ]
+)
+_PHRASE, _SPANS, _STRINGS = 0, 1, 2
+_STRING_SPLIT = 8  # a phrase has more strings than one; they have buckets of their own
+
 
+def _fetch(buckets: int, hot: np.ndarray = _NONE):
+    """Rows (doc, tag, data, starts, lengths, triggers) to the bytes of the open phrases; of hot triggers to packed strings per bucket."""
+    hot_ones = frozenset(hot.view(np.int64).tolist())
 
-def _fetch(buckets: int):
-    """Rows (doc, tag, data, starts, lengths, triggers) to the bytes of the open phrases."""
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        records = _packed(held, buckets * _STRING_SPLIT)
+        kind = [_SPANS if k else _STRINGS for k in records.column("kind").to_pylist()]
+        none = [None] * len(kind)
+        bucket = [buckets + b for b in records.column("bucket").to_pylist()]
+        columns = [bucket, kind, records.column("doc"), records.column("tag"), none, none, records.column("blob")]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _FETCHED, strict=True)], schema=_FETCHED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = count = 0
         for batch in batches:
             docs, tags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: dict[str, list] = {x.split(" ")[0]: [] for x in _FETCHED_DDL.split(", ")}
+            out: dict[str, list] = {name: [] for name in _FETCHED.names}
             for i in range(batch.num_rows):
                 data = batch.column(2)[i].as_py()
-                for x in batch.column(3)[i].as_py():
-                    bucket = ((x["trigger"] % 2**64) >> 32) * buckets >> 32
-                    row = (bucket, docs[i], tags[i], x["start"], x["trigger"], data[x["start"] : x["start"] + x["length"]])
+                open_ = batch.column(3)[i].as_py()
+                numbers = _bucket(np.array([x["trigger"] for x in open_], np.int64).view(np.uint64), buckets).tolist()
+                for x, bucket in zip(open_, numbers, strict=True):
+                    piece = data[x["start"] : x["start"] + x["length"]]
+                    if x["trigger"] in hot_ones:
+                        parts.append((docs[i], tags[i], x["start"], piece))
+                        size += len(piece)
+                        if size >= _CHUNK:
+                            held.append(_strings(parts))
+                            count += len(held[-1][0])
+                            parts, size = [], 0
+                        if count >= _FLUSH:
+                            yield packed(held)
+                            held, count = [], 0
+                        continue
+                    row = (bucket, _PHRASE, docs[i], tags[i], x["start"], x["trigger"], piece)
                     for name, value in zip(out, row, strict=True):
                         out[name].append(value)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out.values(), kinds, strict=True)], names=list(out))
+            yield pa.RecordBatch.from_pydict(out, schema=_FETCHED)
+        if parts:
+            held.append(_strings(parts))
+        if held:
+            yield packed(held)
 
     return run
 
 
+def _strings(parts: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """The ``LENGTH``-byte strings of phrases (doc, tag, start, bytes), in the columns of phrases: two hashes, doc, tag, start, length."""
+    data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
+    lengths = np.array([len(p[3]) for p in parts])
+    doc, tag, start = (np.array([p[k] for p in parts], np.int64) for k in range(3))
+    owner, inner, place = _places(lengths, np.cumsum(lengths) - lengths)
+    one, two = (mix64(_string_hashes(data, place, values)) for values in (_BYTES, _OTHER_BYTES))
+    return one, two, doc[owner], tag[owner], start[owner] + inner, np.full(len(owner), LENGTH)
+
+
+def _places(lengths: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each string in phrases that follow each other: the phrase, the place in it, and the place in all bytes."""
+    count = np.maximum(lengths - LENGTH + 1, 0)
+    owner = np.repeat(np.arange(len(lengths)), count)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, inner, offsets[owner] + inner
+
+
+def _string_hashes(data: np.ndarray, place: np.ndarray, values: np.ndarray) -> np.ndarray:
+    up, down = _Powers.upto(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[data] * up[: len(data)], dtype=np.uint64)])
+    return (sums[place + LENGTH] - sums[place]) * down[place]
+
+
 def _order(table: pa.Table) -> pa.Table:
-    """The suffixes of one bucket's open phrases in order, cut at LENGTH bytes; spans of those that a smaller document holds."""
+    """The suffixes of one bucket's open phrases in order, cut at LENGTH bytes; spans of those that a smaller document holds.
+
+    A bucket of hot triggers' strings has packed records, which are judged like phrases.
+    """
     trim()
+    if table.num_rows and table.column("kind")[0].as_py() != _PHRASE:
+        kind = pa.array([int(k == _SPANS) for k in table.column("kind").to_pylist()], pa.int32())
+        judged = _judge(pa.table({"kind": kind, "doc": table.column("doc"), "tag": table.column("tag"), "blob": table.column("bytes")}))
+        return judged.filter(pc.invert(judged.column("open")))
     doc, tag, start = (table.column(c).to_numpy() for c in ("doc", "tag", "start"))
     column = table.column("bytes").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     data, offsets = binary_column(column)
-    lengths = np.diff(offsets)
-    count = np.maximum(lengths - LENGTH + 1, 0)
-    owner = np.repeat(np.arange(len(doc)), count)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    place = offsets[owner] + inner
+    owner, inner, place = _places(np.diff(offsets), offsets[:-1])
     # Suffixes whose hash is unique can't be equal to another; the others are sorted as bytes.
-    up, down = _Powers.upto(len(data) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)], dtype=np.uint64)])
-    hashes = (sums[place + LENGTH] - sums[place]) * down[place]
+    hashes = _string_hashes(data, place, _BYTES)
     by_hash = np.argsort(hashes)
     same = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
     again = np.zeros(len(by_hash), dtype=bool)
@@ -359,17 +464,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(out, schema=_OUT)
 
 
-def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """Per document: doc (null ids as the greatest long), n_bytes, n_removed, spans removed, kept bytes."""
     data = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     rows = docs.select(id_key().alias("doc"), text_tag().bitwiseAND(2**32 - 1).alias("tag"), data.alias("data"))
-    buckets = pieces(total_bytes(docs, "text"), bucket_bytes, 8)
+    total = total_bytes(docs, "text")
+    buckets = pieces(total, bucket_bytes, 8)
+    triggers = _hot_triggers(rows, total, hot)
+
+    def judge(table: pa.Table) -> pa.Table:
+        return _judge(table, triggers)
+
     judged = stage(
-        rows.mapInArrow(_parse(buckets), _RECORDS_DDL).groupBy("bucket").applyInArrow(_judge, _JUDGED_DDL), "phrases"
+        rows.mapInArrow(_parse(buckets, triggers), _RECORDS_DDL).groupBy("bucket").applyInArrow(judge, _JUDGED_DDL), "phrases"
     )
     release(docs.sparkSession)
     openings = judged.where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "length", "trigger")).alias("open"))
-    fetched = rows.join(openings, ["doc", "tag"]).select("doc", "tag", "data", "open").mapInArrow(_fetch(buckets), _FETCHED_DDL)
+    fetched = rows.join(openings, ["doc", "tag"]).select("doc", "tag", "data", "open").mapInArrow(_fetch(buckets, triggers), _FETCHED_DDL)
     ordered = stage(fetched.groupBy("bucket").applyInArrow(_order, _JUDGED_DDL), "suffix-spans")
     release(docs.sparkSession)
     spans = (

@@ -86,3 +86,47 @@ def test_query_on_whole_table(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def edges(n):
+    """Documents of which every other one holds one passage, each between other words."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(30))
+    return [(i, " ".join([*(word() for _ in range(15)), *([passage] if i % 2 else []), *(word() for _ in range(15))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("docs", [edges(300), corpus(5, 60)])
+def test_hot_triggers(spark, docs):
+    assert run(spark, docs, hot=2, bucket_bytes=2000) == brute(docs)
+
+
+def test_a_hot_trigger_meets_in_no_group():
+    import numpy as np
+    import pyarrow as pa
+
+    docs, buckets = edges(2000), 64
+    batch = pa.RecordBatch.from_pydict({"doc": [i for i, _ in docs], "tag": [0] * len(docs), "data": [t.encode() for _, t in docs]})
+    value, n = np.unique(np.concatenate([c[0] for c in suffixes._phrase_columns(iter([batch]))]), return_counts=True)
+    hot = value[n >= 100]
+    assert n.max() >= 1000  # one in every document with the passage
+
+    def groups(batches):
+        whole = pa.Table.from_batches(batches)
+        return [whole.filter(pa.compute.equal(whole["bucket"], b)) for b in set(whole["bucket"].to_pylist())]
+
+    parsed = groups(suffixes._parse(buckets, hot)(iter([batch])))
+    sizes = [sum(len(suffixes.unpack_columns(x["blob"])[0]) for x in g.to_pylist() if x["kind"] == 0) for g in parsed]
+    assert len(sizes) == buckets and max(sizes) < 2 * sum(sizes) / buckets  # triggers are small numbers; buckets are even
+    judged = pa.concat_tables([suffixes._judge(g, hot) for g in groups(suffixes._parse(buckets, hot)(iter([batch])))])
+    left = judged.filter(judged["open"]).to_pylist()
+    most = max(sum(x["trigger"] == t for x in left) for t in hot.view(np.int64).tolist())
+    assert most >= 900  # open phrases with one trigger
+    opened = {}
+    for x in left:
+        opened.setdefault(x["doc"], []).append({k: x[k] for k in ("start", "length", "trigger")})
+    some = pa.RecordBatch.from_pydict({"doc": list(opened), "tag": [0] * len(opened), "data": [docs[i][1].encode() for i in opened], "open": list(opened.values())})
+    for g in groups(suffixes._fetch(buckets, hot)(iter([some]))):
+        strings = sum(len(suffixes.unpack_columns(x["bytes"])[0]) for x in g.to_pylist() if x["kind"] == suffixes._STRINGS)
+        # Groups of the strings are even, and none holds bytes of one hot trigger's phrases.
+        assert strings < 300 and not any(x["trigger"] in hot.view(np.int64).tolist() for x in g.to_pylist() if x["kind"] == suffixes._PHRASE)
