@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 LOSS_ROLES = ("assistant",)
 PART_CHARS = 1_000_000
 
@@ -138,7 +137,7 @@ def _format(shared, loss_roles: tuple[str, ...], part_chars: int):
     return run
 
 
-def formatted(conversations: DataFrame, tokenizer: str = TOKENIZER, loss_roles=LOSS_ROLES, part_chars: int = PART_CHARS) -> DataFrame:
+def formatted(conversations: DataFrame, tokenizer: str, loss_roles=LOSS_ROLES, part_chars: int = PART_CHARS) -> DataFrame:
     """Rows of a conversation's rendering: text, token ids, their character spans, and the loss mask.
 
     Parts of one conversation follow each other in one partition.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, lines, mix, neardup, quality, shards, suffixes, topk
+from . import chat, decontaminate, katz, lines, mix, neardup, packing, quality, shards, suffixes, topk
 from .common import LAST_ID, crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -159,7 +166,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"),
     )
-    return chat.digests(chat.formatted(rows.unionByName(extra)))
+    return chat.digests(chat.formatted(rows.unionByName(extra), tokenizer_file("byte_bpe_50k.json")))
 
 
 @_query
@@ -188,3 +195,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
