@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, lines, mix, neardup, packing, quality, shards, suffixes, topk
+from . import chat, decontaminate, katz, lines, mix, neardup, packing, quality, repair, shards, suffixes, topk
 from .common import LAST_ID, crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +201,91 @@ def op9_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_query
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repair.with_faults(repair.damaged(table(spark, sf_dir, "conversations")))
+    return repair.digests(repair.repaired(rows))
+
+
+def _edited(x: str, cost: str, edit: str, line: str | None = None) -> str:
+    """A state of the recursion, eight digits of cost, audit, chr(1), repaired lines, after one more edit."""
+    audit, lines = f"substr({x}, 9, instr({x}, chr(1)) - 9)", f"substr({x}, instr({x}, chr(1)) + 1)"
+    added = f" || chr(10) || {line}" if line else ""
+    return f"(lpad((substr({x}, 1, 8)::bigint + {cost})::varchar, 8, '0') || {audit} || '{edit}' || chr(1) || {lines}{added})"
+
+
+def _inserted(s: str, u: str, a: str) -> tuple[str, str]:
+    user, assistant = "'user:'", "'assistant:'"
+    return (
+        f"least({u}, {', '.join(_edited(x, '2', 'I', user) for x in (s, 's1', a) if x)})",
+        f"least({a}, {_edited(u, '2', 'I', assistant)})",
+    )
+
+
+_MOVED = "case when must then null else least({}) end"
+
+
+def _moved(fits: str, initial: str, role: str, sources: tuple[str, ...]) -> str:
+    """The best way into a state: its row deleted, kept or given the role."""
+    ways = [f"case when i = '{initial}' then {_edited(x, 'extra', 'K', 'line')} end" for x in sources]
+    ways += [_edited(x, "2 + extra", "R", f"'{role}:' || text") for x in sources]
+    return f"least({_edited(fits, '3', 'D')}, {_MOVED.format(', '.join(ways))})"
+
+
+_U1, _A1 = _inserted("s0", "s2", "s3")
+_U2, _A2 = _inserted("s0", "s2", "s3")
+
+ORACLES["op11_structure_repair"] = rf"""
+with recursive crc_table as (
+  select list(list_reduce(list_prepend(n, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) t
+  from range(256) r(n)),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') r0, coalesce(text, ' ') t0,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 code
+  from conversations, crc_table),
+damaged as (
+  select conv_id, turn, case when code = 4 then 'user' else r0 end as role,
+    case when code = 1 then '' when code = 2 then translate(t0, '.!?', '') else t0 end as text
+  from keyed, range(2) copies(n) where code <> 0 and (n = 0 or code = 3)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) pos,
+    row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 again,
+    not regexp_matches(text, '[^\x20\x09-\x0D]') blank,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) in ('.', '!', '?') ended
+  from damaged),
+rows as (
+  select conv_id, pos, turn, role, text, role || ':' || text line, left(role, 1) i, blank, not blank and again dup, not blank and not again and not ended cut,
+    blank or again must, (not blank and not again and not ended)::int extra,
+    pos > 1 and lag(left(role, 1)) over (partition by conv_id order by pos) || left(role, 1) not in ('su', 'ua', 'au') illegal
+  from placed),
+walk as (
+  select c.conv_id, 0::bigint pos, '00000000' || chr(1) s0, null::varchar s1, null::varchar s2, null::varchar s3
+  from (select distinct conv_id from conversations) c
+  union all
+  select m.conv_id, m.pos, m.s0, m.s1, m.s2, m.s3 from (
+    select r.conv_id, r.pos,
+      {_edited("w.s0", "3", "D")} s0,
+      least({_edited("w.s1", "3", "D")}, case when not must and i = 's' then {_edited("w.s0", "extra", "K", "line")} end) s1,
+      {_moved("w.s2", "u", "user", ("w.s0", "w.s1", "w.s3"))} s2,
+      {_moved("w.s3", "a", "assistant", ("w.s2",))} s3
+    from (
+      select conv_id, pos, s0, s1, {_U2} s2, {_A2} s3
+      from (select conv_id, pos, s0, s1, {_U1} s2, {_A1} s3 from walk)) w
+    join rows r on r.conv_id is not distinct from w.conv_id and r.pos = w.pos + 1) m),
+ends as (
+  select conv_id, least(s0, s3) best from (
+    select conv_id, pos, s0, s1, {_U2} s2, {_A2} s3
+    from (select conv_id, pos, s0, s1, {_U1} s2, {_A1} s3 from (
+      select *, pos = max(pos) over (partition by conv_id) final from walk) where final))),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank, count(*) filter (dup) dup,
+    count(*) filter (cut) cut, count(*) filter (illegal) illegal
+  from rows group by conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(dup, 0)::bigint "duplicate", coalesce(cut, 0)::bigint truncated,
+  coalesce(illegal, 0)::bigint illegal, substr(best, 1, 8)::bigint "cost", substr(best, 9, instr(best, chr(1)) - 9) audit,
+  sha256(substr(best, instr(best, chr(1)) + 2)) repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id
+"""

@@ -7,6 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arrpipe.llm import chat
+from arrpipe.llm.queries import tokenizer_file
+
+TOKENIZER = tokenizer_file("byte_bpe_50k.json")
 
 PIECES = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "[", "<", "/s>", "a", " ", "é", "\U0001f600", "\n", "INST]", "<\\s>", "[\\\\/INST]"]
 TEXT = st.lists(st.sampled_from(PIECES), max_size=12).map("".join)
@@ -42,7 +45,7 @@ def test_digests(spark, part_chars):
     groups = {}
     for c, t, r, x in sorted(rows, key=lambda z: (str(z[0]), -1 if z[1] is None else z[1], z[2] or "", z[3] or "")):
         groups.setdefault(c, []).append((r or "", x or ""))
-    output = chat.formatted(df, part_chars=part_chars)
+    output = chat.formatted(df, TOKENIZER, part_chars=part_chars)
     found = {r.conv_id: r for r in chat.digests(output).collect()}
     assert set(found) == set(groups)
     for c, turns in groups.items():
@@ -54,7 +57,7 @@ def test_digests(spark, part_chars):
 
 def test_tokens_cover_the_text_and_masks_follow_spans(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi  you"), (1, 1, "assistant", "well, été \U0001f600!")], "conv_id long, turn long, role string, text string")
-    r = chat.formatted(df).first()
+    r = chat.formatted(df, TOKENIZER).first()
     assert r.starts[0] == 0 and r.ends[-1] == len(r.text)
     assert all(b <= e for b, e in zip(r.starts, r.ends, strict=True))
     a, b = chat.render([("user", "hi  you"), ("assistant", "well, été \U0001f600!")])[1][0]
@@ -64,4 +67,4 @@ def test_tokens_cover_the_text_and_masks_follow_spans(spark):
 
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.digests(chat.formatted(df)).collect() == []
+    assert chat.digests(chat.formatted(df, TOKENIZER)).collect() == []
