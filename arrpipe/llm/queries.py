@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, katz, lines, mix, neardup, packing, quality, repair, shards, suffixes, topk
+from . import chat, decontaminate, katz, lines, mix, neardup, negatives, packing, quality, repair, shards, suffixes, topk
 from .common import LAST_ID, crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,3 +289,29 @@ select e.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0)::bigint bla
   sha256(substr(best, instr(best, chr(1)) + 2)) repaired_sha256
 from ends e left join counts c on c.conv_id is not distinct from e.conv_id
 """
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).cast("int")
+    rows = negatives.valid_rows(vectors.withColumn("label", label), topk.quantised("embedding", 256))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = """
+with v as (
+  select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::integer as label, list_transform(embedding, lambda x: floor(256 * x::double)) q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+s as (
+  select a.vec_id anchor_id, b.vec_id, a.label = b.label same, list_inner_product(a.q, b.q)::bigint score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select p.anchor_id, p.vec_id positive_id, s.vec_id negative_id, p.score positive_score, s.score negative_score,
+    row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) rank
+  from p join s on p.anchor_id = s.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank::integer rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
