@@ -15,8 +15,8 @@ which need no padding.
 
 Tokens: white space parts words in this tokenizer, so a text is cut at ASCII white space, each distinct
 word is encoded once for the task's ``CACHE`` latest words, and a text's ids are those of its words in order. This
-equals encoding the whole text. Marks that follow an ASCII or Latin-1 letter or digit at a word's end are words of
-their own, which the tokenizer's pattern keeps apart likewise.
+equals encoding the whole text. Marks that follow an ASCII or Latin-1 letter or digit at a word's end are encoded
+apart, as the tokenizer's pattern keeps them apart likewise.
 
 Defined results: a null text is empty, and an empty text is the end id alone; a null doc_id stays null; repeated
 rows are documents of their own; an empty table gives an empty result; other columns are ignored.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 from math import isqrt
 from pathlib import Path
 
@@ -45,10 +46,12 @@ CACHE = 1_000_000
 _FLUSH = 4_000_000
 
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Marks at the end of a word, without those of the tokenizer's special strings and the apostrophe.
-_TAIL = re.compile(rf"(?<=[{_LETTER}0-9])([!\"#$%&()*+,\-./:;=?@\[\\\]^_`{{}}~]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
-#: Words that are one unit of the tokenizer's pattern, whatever stands beside them.
-_UNIT = re.compile(rf"[{_LETTER}]+")
+_MARKS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+#: Letters are one unit of the tokenizer's pattern, whatever stands beside them, and it doesn't see their case.
+_UNIT = re.compile(rf"([{_LETTER}]+)([{_MARKS}]*)")
+#: Other words with marks at their end; these are without the apostrophe and those of the tokenizer's special strings.
+_TAIL = re.compile(rf"(.*[{_LETTER}0-9])([{_MARKS}]+)", re.S)
+_RUN = 1000
 _BLANK = re.compile(r"[ \t\n\r\x0b\x0c]")
 
 _SCHEMA = pa.schema(
@@ -70,6 +73,14 @@ def cut_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
     return [*out, n] if n else out
 
 
+class _Numbers(dict):
+    """Words in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Token ids of texts, by way of their distinct words."""
 
@@ -84,53 +95,76 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()  # words; each is two parts, the second one often empty
+        self.first, self.second = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.parts = _Numbers({"": 0})  # and where their ids lie in ``flat``
+        self.start, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _room(self, words: int, ids: int) -> None:
-        while self.used + ids > len(self.flat):
+    def _store(self, numbers: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.known) + words > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-
-    def _learn(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self._room(len(words), len(ids))
-        first, ends = len(self.known), np.cumsum(sizes)
-        self.start[first : first + len(words)] = self.used + ends - sizes
-        self.size[first : first + len(words)] = sizes
+        sizes = np.diff(ends, prepend=0)
+        self.start[numbers], self.size[numbers] = self.used + ends - sizes, sizes
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(words, range(first, first + len(words)), strict=True))
-
-    def _encode(self, words: list[bytes]) -> None:
-        units, rest = [], []
-        for w in words:
-            (units if _UNIT.fullmatch(w.decode()) else rest).append(w)
-        if units:  # encoded in one run: each is closed by a token that ends a word
-            ids = np.array(self.tokenizer.encode(b" ".join(units).decode(), add_special_tokens=False).ids, np.uint32)
-            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-            if len(sizes) == len(units) and sizes.sum() == len(ids):
-                self._learn(units, ids, sizes)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts in a row, and where each one's end."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum([len(ids) for ids in found], dtype=np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, ends[-1]), ends
+
+    def _learn(self, words: list[bytes]) -> None:
+        """New words: their parts, and the ids of parts that are new."""
+        n, known = len(self.known), len(self.parts)
+        first, second = [], []
+        for word in words:
+            text = word.decode()
+            unit = _UNIT.fullmatch(text)
+            if unit:
+                first.append(self.parts[unit[1].lower()])
+                second.append(self.parts[unit[2]])
+            else:
+                cut = _TAIL.fullmatch(text)
+                first.append(self.parts[cut[1] if cut else text])
+                second.append(self.parts[cut[2] if cut else ""])
+        while n > len(self.first):
+            self.first, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.second))
+        self.first[n - len(words) : n], self.second[n - len(words) : n] = first, second
+        while len(self.parts) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        units, others = [], []
+        for part in islice(self.parts, known, None):
+            (units if _UNIT.fullmatch(part) else others).append(part)
+        if units:  # in runs of many: a token that ends a word closes each
+            ids, _ = self._encoded([" ".join(units[i : i + _RUN]) for i in range(0, len(units), _RUN)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(units) and ends[-1] == len(ids):
+                self._store([self.parts[x] for x in units], ids, ends)
             else:
-                rest += units
-        if rest:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
-            self._learn(rest, np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64))
+                others += units
+        if others:
+            self._store([self.parts[x] for x in others], *self._encoded(others))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
         if len(self.known) > CACHE:
             self._clear()
-        split = [_TAIL.sub(r" \1", text).encode().split() for text in texts]
-        words = [w for part in split for w in part]
-        self._encode(list(set(words) - self.known.keys()))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.size[index]
-        ends = np.cumsum(sizes)
+        split = [text.encode().split() for text in texts]
+        counts = np.cumsum([len(words) for words in split])
+        before = len(self.known)
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, counts[-1])
+        if len(self.known) > before:
+            self._learn(list(islice(self.known, before, None)))
+        parts = np.empty(2 * len(index), np.int32)
+        parts[::2], parts[1::2] = self.first[index], self.second[index]
+        sizes = self.size[parts]
+        ends = np.cumsum(sizes, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[index] - (ends - sizes), sizes)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([len(part) for part in split], dtype=np.int64)]
-        return np.split(ids, bounds[:-1]) if texts else []
+        places = np.arange(total) + np.repeat(self.start[parts] - (ends - sizes), sizes)
+        return np.split(self.flat[places], np.concatenate([[0], ends])[2 * counts[:-1]])
 
 
 def slices(text: str, limit: int) -> Iterator[str]:
