@@ -6,7 +6,7 @@ all of the host's pages. Counts combine before the shuffle, so a line on every p
 costs one row per task. Only 128-bit line fingerprints are shuffled, and each page gets back the
 fingerprints to drop.
 
-Defined results: a null or unreadable URL has the host ''; a null page has no lines; a line
+Defined results: a null or unreadable URL has the host ''; a null page, and a null array, has no lines; pages and lines of any length are handled whole; a line
 counts once per page; every row is a page, also one that repeats another row; an empty
 table gives an empty result; columns of the input whose names clash with the ones added are replaced.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 RATIO = 0.2
-LEAST_PAGES = 3
+LEAST_PAGES = 2  # on fewer a line can't repeat
 
 # What separates the lines of an HTML page, and its usual entities.
 BLOCKS = r"(?i)<(?:br|/?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|title|article|section|header|footer|nav|head|body|html|pre|blockquote))\b[^>]*>"
@@ -57,6 +57,8 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
     packed = stage(
         pages.select(row, F.col("host").alias("h"), "lines").withColumns(
+            {"lines": F.coalesce("lines", F.array().cast("array<string>"))}
+        ).withColumns(
             {"p1": F.xxhash64("h", "lines"), "p2": F.xxhash64(F.lit(1), "h", "lines"), "n": F.size("lines")}
         ),
         "page-lines",
@@ -74,11 +76,11 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     flagged = (
         seen.join(common, (F.col("h") == F.col("ch")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
         .groupBy(F.col("p1").alias("f1"), F.col("p2").alias("f2"))
-        .agg(F.collect_set("a").alias("drop"))
+        .agg(F.collect_set(F.struct("a", "b")).alias("drop"))
     )
     kept = F.when(
         F.col("drop").isNull(), F.col("lines")
-    ).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x))))
+    ).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))))
     return (
         packed.join(flagged, (F.col("p1") == F.col("f1")) & (F.col("p2") == F.col("f2")), "left")
         .withColumn("kept", kept)

@@ -7,13 +7,12 @@ is decided by order sampling: with a hashed uniform number ``u`` a document rank
 their words fit into what its target leaves after the whole copies. Where more than a hundredth
 of that stays open, the order steps over the document that didn't fit and goes on in rounds with those of
 at most half of what is open, so each round halves it or uses all such documents up. A last document per
-source, the one whose size comes nearest to what is still open, closes the gap. ``fill=False`` leaves the
-rounds out: a source then stops at the first document that doesn't fit, however long it is.
+source, the one whose size comes nearest to what is still open, closes the gap.
 
 The decisions depend on a document's id and on a few numbers per source, so applying
 them to wide rows joins the small table of sources and moves no text.
 
-Defined results: a null text has no words; a null source is a source of its own, last in
+Defined results: a null text has no words; texts of any length are counted whole; a null source is a source of its own, last in
 order; rows with one id rank together and are taken together, in the rounds those of them that are short enough;
 a source without words gets nothing; an empty table gives an empty result; columns of the input whose names
 clash with the ones added are replaced.
@@ -139,7 +138,7 @@ def _filled(sizes: DataFrame, cuts: DataFrame) -> DataFrame:
         )
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0, share: float = 1.0, fill: bool = True) -> DataFrame:
+def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0, share: float = 1.0) -> DataFrame:
     """One row per source: target, whole copies, the rank up to which it takes, its rounds, its last document.
 
     ``sizes``: doc_id, source, size, u; it is read several times, so give a staged table.
@@ -161,8 +160,7 @@ def plan(sizes: DataFrame, weights=WEIGHTS, cap: float = 3.0, share: float = 1.0
         .drop("bin"),
         "mix-cuts",
     )
-    if fill:
-        cuts = _filled(sizes, cuts)
+    cuts = _filled(sizes, cuts)
     judged = _decide(_same(sizes, cuts.where("p > 0")), F.col("size"))
     closing = (
         _same(judged.where("not extra"), _gaps(judged))

@@ -23,7 +23,7 @@ elements in which members differ from a common hub, which finds every pair that
 Classes are connected components, found by hooking each class to its least neighbour and jumping.
 
 Defined results: null texts and texts without words are in a class of their own each; a repeated row is a copy; a null id is
-a document, ordered last; an empty table gives an empty result; other columns are ignored.
+a document, ordered last; a very long text is worked on by itself, at some 40 bytes a word; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 STAR_ROUNDS = 3
+CHUNK_ROWS, CHUNK_BYTES = 256, 2_000_000
 
 _SIGNED = pa.schema(
     [("id", pa.int64()), ("tag", pa.int64()), ("same", pa.binary()), ("n", pa.float64()), ("bands", pa.list_(pa.int64()))]
@@ -140,11 +142,22 @@ def band_keys(names: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Rows that are worked on at once: few enough texts, and of bounded length together unless one alone is longer."""
+    start = held = 0
+    for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
+        if i > start and (i - start == CHUNK_ROWS or held + (n or 0) > CHUNK_BYTES):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n or 0
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def _sign(shingle: int, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in _chunks(batch, 2):
                 sets = [elements(t, shingle, counts) for t in part.column(2).to_pylist()]
                 full = [i for i, (e, _) in enumerate(sets) if len(e)]
                 keys: list = [None] * len(sets)
@@ -166,8 +179,7 @@ def _sign(shingle: int, counts: bool):
 def _sets(shingle: int, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in _chunks(batch, 1):
                 sets = [elements(t, shingle, counts) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([e.tobytes() for e, _ in sets], pa.binary()), pa.array([w.astype(np.float32).tobytes() if counts else b"" for _, w in sets], pa.binary())],
@@ -242,10 +254,9 @@ def document_key() -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, weights: str = "set") -> DataFrame:
-    """A row per document: id (null ids as the greatest long), tag, class, links, keep.
+    """A row per document: id (null ids as the greatest long), tag, class, keep.
 
-    ``class`` is the least id of the group that similarities of ``threshold`` connect, ``links`` the number of
-    its representatives that the document's representative was verified to be similar to, and ``keep`` holds for one row per group.
+    ``class`` is the least id of the group that similarities of ``threshold`` connect, and ``keep`` holds for one row per group.
     """
     counts = weights == "count"
     signed = stage(
@@ -268,28 +279,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         .select("rep", "text").mapInArrow(_sets(shingle, counts), "rep long, items binary, weights binary").dropDuplicates(["rep"]),
         "shingle-sets",
     )
-    classes, known = _link(rows, sets, threshold)
-    links = (
-        known.where(F.col("similarity") >= threshold)
-        .select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    )
+    classes = _link(rows, sets, threshold)
     # A class is named by its least document id.
     placed = reps.join(classes, "rep", "left").withColumn("class", F.coalesce("class", "rep"))
     heads = placed.groupBy("class").agg(F.min(F.struct("id", "tag")).alias("head"))
     member = stage(
-        placed.join(heads, "class").join(links, "rep", "left")
-        .select("same", F.col("head.id").alias("class"), F.col("head.tag").alias("class_tag"), F.coalesce("links", F.lit(0)).alias("links")),
+        placed.join(heads, "class").select("same", F.col("head.id").alias("class"), F.col("head.tag").alias("class_tag")),
         "members",
     )
-    inside = full.select("id", "tag", "same").join(member, "same").select("id", "tag", "class", "class_tag", "links")
-    alone = signed.where("same is null").select("id", "tag", F.col("id").alias("class"), F.col("tag").alias("class_tag"), F.lit(0).cast("long").alias("links"))
+    inside = full.select("id", "tag", "same").join(member, "same").select("id", "tag", "class", "class_tag")
+    alone = signed.where("same is null").select("id", "tag", F.col("id").alias("class"), F.col("tag").alias("class_tag"))
     return inside.unionByName(alone).withColumn(
         "keep", (F.col("id") == F.col("class")) & (F.col("tag") == F.col("class_tag"))
     ).drop("class_tag")
 
 
-def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Classes (rep, class) and all compared pairs (a, b, similarity), a < b, of bucket rows (key, rep, n)."""
+def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Classes (rep, class) of bucket rows (key, rep, n)."""
     classes = stage(rows.select("rep").distinct().withColumn("class", F.col("rep")), "classes")
     known = None
     active = rows.select("key", "rep", "n")
@@ -324,7 +330,7 @@ def _link(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame
         active = active.select("key", "rep", "n")
     if known is None:
         known = rows.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    return components(classes, known.where(F.col("similarity") >= threshold).select("a", "b")), known
+    return components(classes, known.where(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,15 +116,14 @@ from p left join kept using (k)
 @_query
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.sizes(table(spark, sf_dir, "documents"))
-    # Without the rounds, as the SQL twin says it.
-    chosen = mix.apply(rows.drop("u"), mix.plan(rows, fill=False))
+    chosen = mix.apply(rows.drop("u"), mix.plan(rows))
     return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 _WEIGHT_SQL = f"(case (row_number() over (order by source nulls last) - 1) % 3 {' '.join(f'when {i} then {w}.0' for i, w in enumerate(mix.WEIGHTS))} end)::double"
 
 ORACLES["op5_source_mix"] = f"""
-with d as (
+with recursive d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size,
     (('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 u
   from documents),
@@ -141,12 +140,30 @@ r as (select *, floor(ratio)::bigint whole, ratio - floor(ratio) p, target - flo
       from (select *, case when source_size > 0 then target / source_size else 0 end ratio from t)),
 j as (select d.*, r.source_size, target, whole, p, room, case when p > 0 then (u / (1 - u)) / (p / (1 - p)) end q
       from d join r on d.source is not distinct from r.source),
-c as (select *, p > 0 and sum(size) over (partition by source order by q, doc_id range between unbounded preceding and current row) <= room extra from j),
-g as (select *, room - sum(case when extra then size else 0 end) over (partition by source) gap from c),
-z as (select source, arg_min(doc_id, (abs(gap - size), q, doc_id)) last from g where p > 0 and not extra and abs(gap - size) < gap group by source)
-select g.doc_id, size, source_size, target,
-  (size * (whole + extra::bigint + coalesce((z.last = g.doc_id and not extra)::bigint, 0)))::bigint taken
-from g left join z on g.source is not distinct from z.source
+c as (select doc_id, size, source, source_size, target, whole, p, room, q, upto <= room extra,
+        min(row(q, doc_id)) filter (upto > room) over (partition by source) stop
+      from (select *, sum(size) over (partition by source order by q, doc_id range between unbounded preceding and current row) upto from j where p > 0)),
+rounds as (
+  select 0 n, * from c
+  union all
+  select n + 1, doc_id, size, source, source_size, target, whole, p, room, q, extra or (fits and upto <= gap),
+    min(row(q, doc_id)) filter (fits and upto > gap) over (partition by source)
+  from (
+    select *, sum(case when fits then size else 0 end) over (partition by source order by q, doc_id range between unbounded preceding and current row) upto,
+      bool_or(fits) over (partition by source) goes_on
+    from (
+      select *, not extra and row(q, doc_id) > stop and size > 0 and size <= gap / 2 fits
+      from (select *, room - sum(case when extra then size else 0 end) over (partition by source) gap from rounds where stop is not null)
+      where gap > {mix._OPEN} * room))
+  where goes_on),
+g as (
+  select *, room - sum(case when extra then size else 0 end) over (partition by source) gap
+  from (select *, n = max(n) over (partition by source) final from rounds) where final),
+z as (select source, arg_min(doc_id, (abs(gap - size), q, doc_id)) last from g where not extra and abs(gap - size) < gap group by source)
+select j.doc_id, j.size, j.source_size, j.target,
+  (j.size * (j.whole + coalesce(g.extra, false)::bigint + coalesce((z.last = j.doc_id and not coalesce(g.extra, false))::bigint, 0)))::bigint taken
+from j left join g on j.source is not distinct from g.source and j.doc_id = g.doc_id
+  left join z on j.source is not distinct from z.source
 """
 
 
@@ -154,7 +171,7 @@ from g left join z on g.source is not distinct from z.source
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     plain = [F.when(F.col(c) != LAST_ID, F.col(c)).alias(name) for c, name in (("id", "doc_id"), ("class", "class_id"))]
-    return found.select(*plain, "links", "keep")
+    return found.select(*plain, "keep")
 
 
 @_query
@@ -251,11 +268,10 @@ damaged as (
     case when code = 1 then '' when code = 2 then translate(t0, '.!?', '') else t0 end as text
   from keyed, range(2) copies(n) where code <> 0 and (n = 0 or code = 3)),
 placed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) pos,
-    row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 again,
+  select *, row_number() over (partition by conv_id, role, text order by pos) > 1 again,
     not regexp_matches(text, '[^\x20\x09-\x0D]') blank,
     right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) in ('.', '!', '?') ended
-  from damaged),
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) pos from damaged)),
 rows as (
   select conv_id, pos, turn, role, text, role || ':' || text line, left(role, 1) i, blank, not blank and again dup, not blank and not again and not ended cut,
     blank or again must, (not blank and not again and not ended)::int extra,

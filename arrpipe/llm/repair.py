@@ -158,14 +158,14 @@ def with_faults(rows: DataFrame) -> DataFrame:
     full = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     last = F.right(F.rtrim("text", F.lit(_SPACE)), F.lit(1))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    copy = F.row_number().over(Window.partitionBy("conv_id", "dropped", "role", "text").orderBy(F.col("turn").asc_nulls_first()))
+    copy = F.row_number().over(Window.partitionBy("conv_id", "dropped", "role", "text").orderBy("pos"))
     pos = F.row_number().over(Window.partitionBy("conv_id", "dropped").orderBy(*order))
     fault = (
         F.when(F.col("dropped"), _NO_ROWS).when(~full, BLANK).when(F.col("_copy") > 1, DUPLICATE)
         .when(~last.isin(".", "!", "?"), TRUNCATED).otherwise(OK)
     )
     return (
-        rows.repartition("conv_id").withColumns({"_copy": copy, "pos": pos})
+        rows.repartition("conv_id").withColumn("pos", pos).withColumn("_copy", copy)
         .select("conv_id", "turn", "role", "text", fault.alias("fault"), "pos")
     )
 

@@ -100,3 +100,11 @@ def test_query_on_whole_table(spark):
     rows = QUERIES["op6_near_duplicates"](spark, sf_dir).collect()
     assert sorted((r.doc_id, r.class_id) for r in rows) == brute(docs)
     assert sum(r.keep for r in rows) == len({r.class_id for r in rows})
+
+
+def test_long_texts_are_worked_on_alone(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK_BYTES", 100)
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " more"), (3, "short"), (4, None), (5, "short")]
+    found = {r["id"]: r["class"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
