@@ -22,12 +22,14 @@ def run(
     csv_options: dict | None = None,
     suffixes: tuple[str, str] = ("csv", "json"),
     identity: str = "name",
+    keep: int | None = 2,
 ) -> Tables:
     """Run bronze, silver and gold, publish the results together, then export.
 
     ``as_of`` stands for "now" wherever the batch needs it. The session time zone should
     be UTC. ``suffixes`` are those of article and company files. Files are known by base name and time,
-    or by path and time where ``identity`` is "path".
+    or by path and time where ``identity`` is "path". The last ``keep`` published versions stay readable, all if None;
+    snapshots of older ones are deleted.
     """
     as_of = as_of or dt.datetime.now(dt.timezone.utc)
     tables = Tables(spark, warehouse)
@@ -36,6 +38,8 @@ def run(
         run_silver(spark, tables, as_of)
         run_gold(tables, as_of)
         tables.publish(as_of)
+    if keep is not None:
+        tables.retire(keep)
     if output:
         export(tables, output)
     return tables

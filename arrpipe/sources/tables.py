@@ -23,6 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self.version = self._published()
+        self._superseded: dict[str, str] = {}  # of the tables written so far, what a later version makes useless
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         partitioned = T.StructType(schema.fields + [T.StructField("version", T.IntegerType())])
@@ -65,6 +66,7 @@ class Tables:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Write the whole of a table."""
+        self._superseded[name] = ""
         self._write(name, conform(rows, name))
 
     def latest(self, name: str) -> DataFrame:
@@ -76,8 +78,27 @@ class Tables:
 
         Rows that were history before are in earlier runs' folders and stay there.
         """
+        self._superseded[name] = "/is_current=true"
         self._write(name, conform(changed, name), "is_current")
 
+    def retire(self, keep: int) -> None:
+        """Delete what only published versions before the last ``keep`` read.
+
+        That is the whole snapshot of a replaced table, and the current rows of a versioned one; history
+        and tables that only grow stay. A reader of a version that is kept sees no change.
+        """
+        if keep < 1:
+            raise ValueError("at least the published version must be kept")
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name, part in self._superseded.items():
+            base = path_of(f"{self.root}/{name}")
+            files = base.getFileSystem(conf)
+            for status in files.listStatus(base):
+                version = status.getPath().getName().removeprefix("version=")
+                if version.isdigit() and int(version) <= self.version - keep:
+                    files.delete(path_of(f"{self.root}/{name}/version={version}{part}"), True)
+
     def current_and_history(self, name: str) -> DataFrame:
         run = F.col("version")
         alive = F.when(F.col("is_current"), run == self.version).otherwise(run <= self.version)

@@ -200,3 +200,32 @@ def test_a_run_leaves_no_staged_tables(spark, tmp_path):
     with pytest.raises(Exception):
         run(spark, str(tmp_path / "in"), str(tmp_path / "tables"), as_of=DAY[1], csv_options={"mode": "no such mode", "sep": ""})
     assert set(os.listdir(folder)) == before
+
+
+def test_superseded_snapshots_are_deleted(spark, tmp_path):
+    source, results = tmp_path / "in", {}
+    source.mkdir()
+    (source / "c.json").write_text(json.dumps({"Acme": FIRM}))
+    for day in range(3):
+        put_csv(source / f"{day}.csv", ARTICLE_COLUMNS, *[{"article_id": str(i), "title": f"t{day}"} for i in range(day, 9)])
+        for keep in (None, 2):
+            tables = run(spark, str(source), str(tmp_path / f"t{keep}"), as_of=DAY[day], keep=keep)
+            results[keep] = [
+                sorted(map(str, rows.collect()))
+                for rows in (tables.latest("silver_articles"), tables.current_and_history("silver_observations"), tables.latest("dim_company"))
+            ]
+    assert results[None] == results[2]
+
+    def versions(keep, name, part=""):
+        return sorted(p.parent.name if part else p.name for p in (tmp_path / f"t{keep}" / name).glob(f"version=*/{part}".rstrip("/")))
+
+    every = ["version=1", "version=2", "version=3"]
+    for name in ("silver_articles", "dim_date", "dim_company", "gold_fact_arr_observation"):
+        assert versions(None, name) == every and versions(2, name) == every[1:]
+    assert versions(2, "silver_observations", "is_current=true") == every[1:]
+    assert versions(2, "bronze_articles") == every
+    older = Tables(spark, str(tmp_path / "t2"))
+    older.version = 2
+    assert older.latest("silver_articles").count() > 0 and older.current("silver_observations").count() > 0
+    with pytest.raises(ValueError):
+        older.retire(0)
