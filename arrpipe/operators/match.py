@@ -13,14 +13,17 @@ a row per pair.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.names import AliasRules
 from ..sources.staging import stage
 
 MIN_CONTAINED = 4
-_MASKED = 63  # lengths from MIN_CONTAINED up that fit one 64-bit mask
+_RULES = AliasRules()
 
 
 def match_exact(articles: DataFrame, companies: DataFrame) -> DataFrame:
@@ -46,47 +49,58 @@ def _rule_keys(last: str) -> Column:
 
 
 def _pieces(haystacks: DataFrame, needles: DataFrame) -> DataFrame:
-    """Substrings of ``hay`` that could be a ``needle``: same first four characters, same length.
+    """Substrings of ``hay`` that could be a ``needle``: same length, same leading part.
 
-    The lookup by first four characters has at most 36^4 rows of fixed width, as
-    compact names hold only [a-z0-9]; hence the broadcast. Lengths up to 66 sit in
-    a bit mask, longer ones are bounded by the greatest length seen.
+    Needles are classed by length, 2^c to 2^(c+1) - 1 characters, and known by a fingerprint of their first
+    2^c. A class gives a haystack one window per position, whatever the lengths in it; only windows whose
+    fingerprint some needle has are cut, at the lengths of those needles. Which classes a window can
+    skip is looked up by its first four characters: at most 36^4 rows of fixed width, as compact
+    names hold only [a-z0-9]; hence the broadcast. A window carries no more text than its class can need.
     """
-    size = F.length("needle")
-    in_mask = size < MIN_CONTAINED + _MASKED
-    shapes = needles.groupBy(F.substring("needle", 1, MIN_CONTAINED).alias("gram")).agg(
-        F.bit_or(
-            F.when(in_mask, F.expr(f"shiftleft(1L, length(needle) - {MIN_CONTAINED})"))
-            .otherwise(F.lit(0).cast("long"))
-        ).alias("mask"),
-        F.max(size).alias("longest"),
-    )
-    starts = haystacks.where(F.length("hay") >= MIN_CONTAINED).select(
-        "*", F.explode(F.expr(f"sequence(1, length(hay) - {MIN_CONTAINED - 1})")).alias("at")
-    )
-    lengths = F.expr(
-        f"filter(sequence({MIN_CONTAINED}, least(longest, length(hay) - at + 1)), "
-        f"n -> n >= {MIN_CONTAINED + _MASKED} "
-        f"or (shiftright(mask, n - {MIN_CONTAINED}) & 1L) = 1L)"
+    shapes = (
+        needles.where(F.length("needle") >= MIN_CONTAINED)
+        .select("needle", F.length("needle").alias("n"), F.expr("length(bin(length(needle))) - 1").alias("class"))
+        .select(
+            F.left("needle", F.lit(MIN_CONTAINED)).alias("gram"), "class", "n",
+            F.expr("xxhash64(left(needle, shiftleft(1, class)))").alias("print"),
+        )
+    )
+    grams = shapes.groupBy("gram").agg(F.bit_or(F.expr("shiftleft(1, class)")).alias("classes"))
+    # At most 2^c lengths each.
+    sizes = shapes.groupBy("class", "print").agg(F.collect_set("n").alias("sizes"))
+    kept = [c for c in haystacks.columns if c != "hay"]
+    fitting = f"sequence({MIN_CONTAINED.bit_length() - 1}, length(bin(length(hay) - at + 1)) - 1)"
+    windows = (
+        haystacks.where(F.length("hay") >= MIN_CONTAINED)
+        .select("*", F.explode(F.expr(f"sequence(1, length(hay) - {MIN_CONTAINED - 1})")).alias("at"))
+        .withColumn("gram", F.expr(f"substr(hay, at, {MIN_CONTAINED})"))
+        .join(F.broadcast(grams), "gram")
+        .select("*", F.explode(F.expr(f"filter({fitting}, c -> (shiftright(classes, c) & 1) = 1)")).alias("class"))
+        .select(
+            *kept, "class",
+            F.expr("xxhash64(substr(hay, at, shiftleft(1, class)))").alias("print"),
+            F.expr("substr(hay, at, shiftleft(2, class) - 1)").alias("rest"),
+        )
     )
     return (
-        starts.withColumn("gram", F.expr(f"substr(hay, at, {MIN_CONTAINED})"))
-        .join(F.broadcast(shapes), "gram")
-        .select(*haystacks.columns, "at", F.explode(lengths).alias("n"))
-        .select(*haystacks.columns, F.expr("substr(hay, at, n)").alias("piece"))
+        windows.join(sizes, ["class", "print"])
+        .select(*kept, "rest", F.explode(F.expr("filter(sizes, n -> n <= length(rest))")).alias("n"))
+        .select(*kept, F.expr("left(rest, n)").alias("piece"))
     )
 
 
-def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
+def _by_key(left: DataFrame, right: DataFrame, rules: AliasRules) -> DataFrame:
     """(company_name, rule, id) by equal normal form, compact form or alias.
 
     Rule 'last' holds the candidates of priority 0, whose normal form is the name's
     last alias.
     """
-    left, right = names, N.keys(companies, "company_name")
+    counts = F.col("key") != "" if rules.drop_empty_keys else F.lit(True)
+    shared = F.col("compact") != "" if rules.drop_empty_keys else F.lit(True)
     own_alias = F.array_contains("aliases", F.col("normal"))
     company_keys = (
         right.select("id", own_alias.alias("own"), _rule_keys("normal"))
+        .where(counts)
         .groupBy("rule", "key")
         .agg(F.min("id").alias("any_id"), F.min(F.when(F.col("own"), F.col("id"))).alias("own_id"))
     )
@@ -95,7 +109,7 @@ def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
     compact_last = F.regexp_replace("last_alias", "[^a-z0-9]", "")
     surely = (
         (F.col("normal") == F.col("last_alias"))
-        | (F.col("compact") == compact_last)
+        | ((F.col("compact") == compact_last) & shared)
         | (
             (F.length("compact") >= MIN_CONTAINED)
             & (F.length(compact_last) >= MIN_CONTAINED)
@@ -131,13 +145,12 @@ def _by_key(names: DataFrame, companies: DataFrame) -> DataFrame:
     return equal.unionByName(odd)
 
 
-def _by_containment(names: DataFrame, companies: DataFrame) -> DataFrame:
+def _by_containment(names: DataFrame, firms: DataFrame) -> DataFrame:
     """(company_name, rule, id) where one compact form contains the other."""
     long_enough = F.length("compact") >= MIN_CONTAINED
     left = names.where(long_enough).select("company_name", "compact")
     right = (
-        companies.select("id", N.compact("company_name").alias("compact"))
-        .where(long_enough)
+        firms.where(long_enough)
         .groupBy("compact")
         .agg(F.min("id").alias("id"))
     )
@@ -158,50 +171,101 @@ def _by_containment(names: DataFrame, companies: DataFrame) -> DataFrame:
     )
 
 
-def _found(names: DataFrame, companies: DataFrame) -> DataFrame:
-    # Five branches start from the distinct names and their keys: work those out once.
+def _found(names: DataFrame, companies: DataFrame, rules: AliasRules = _RULES) -> DataFrame:
+    # Five branches start from the keys of names and companies: work those out once.
     distinct = _named(names.select("company_name")).distinct()
-    keyed = stage(N.keys(distinct, "company_name"), "names")
+    keyed = stage(N.keys(distinct, "company_name", rules), "names")
     listed = _named(companies.select("id", "company_name"))
-    return _by_key(keyed, listed).unionByName(_by_containment(keyed, listed))
+    firms = stage(N.keys(listed, "company_name", rules).drop("company_name"), "firms")
+    return _by_key(keyed, firms, rules).unionByName(_by_containment(keyed, firms))
 
 
-def candidates(names: DataFrame, companies: DataFrame) -> DataFrame:
+def candidates(names: DataFrame, companies: DataFrame, rules: AliasRules = _RULES) -> DataFrame:
     """(company_name, rule, company_id): per distinct name and rule, the lowest matching id.
 
     The rules are normal, compact, alias, contains (the name holds the company) and
     contained (the company holds the name).
     """
     return (
-        _found(names, companies)
+        _found(names, companies, rules)
         .where("rule <> 'last'")
         .groupBy("company_name", "rule")
         .agg(F.min("id").alias("company_id"))
     )
 
 
-def best_by_name(names: DataFrame, companies: DataFrame) -> DataFrame:
-    """(company_name, priority, company_id): the best candidate of each distinct name."""
+def _lowest(rows: DataFrame, key: str) -> DataFrame:
+    """The lowest (priority, company_id) of each key; rows without a company don't count."""
+    pair = F.when(F.col("company_id").isNotNull(), F.struct("priority", "company_id"))
+    return rows.groupBy(key).agg(F.min(pair).alias("best")).select(key, "best.*")
+
+
+def best_by_name(names: DataFrame, companies: DataFrame, rules: AliasRules = _RULES) -> DataFrame:
+    """(company_name, priority, company_id): the best candidate of each distinct name that has one."""
     priority = F.when(F.col("rule") == "last", 0).otherwise(1)
-    return (
-        _found(names, companies)
-        .groupBy("company_name")
-        .agg(F.min(F.struct(priority.alias("priority"), F.col("id").alias("company_id"))).alias("best"))
-        .select("company_name", "best.*")
+    found = _found(names, companies, rules)
+    return _lowest(
+        found.select("company_name", priority.alias("priority"), F.col("id").alias("company_id")), "company_name"
     )
 
 
-def best_by_article(article_names: DataFrame, companies: DataFrame) -> DataFrame:
+def update_best(
+    names: DataFrame, companies: DataFrame, kept: DataFrame, rules: AliasRules = _RULES
+) -> DataFrame:
+    """(company_name, priority, company_id, seen_id, rules): each distinct name's best candidate, NULL if it has none.
+
+    ``kept`` is what an earlier call returned, or an empty table. Companies are only ever added, under ever
+    greater ids, and ``seen_id`` says up to which id a name has met them. So kept names meet
+    companies above the least seen_id among them, and names that ``kept`` lacks, or
+    has from other ``rules``, meet all. As a best candidate is a minimum, meeting a company twice is harmless.
+    """
+    tag = rules.tag()
+    wanted = stage(
+        _named(names.select("company_name")).distinct()
+        .join(kept.where(F.col("rules") == tag).drop("rules"), "company_name", "left"),
+        "wanted-names",
+    )
+    known = wanted.where("seen_id is not null")
+    latest = companies.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("id")).first()["id"]
+    seen = known.agg(F.min("seen_id").alias("id")).first()["id"]
+    found = [
+        known.select("company_name", "priority", "company_id"),
+        best_by_name(wanted.where("seen_id is null"), companies, rules),
+    ]
+    if seen is not None and seen < latest:
+        found.append(best_by_name(known, companies.where(F.col("id") > seen), rules))
+    best = _lowest(reduce(DataFrame.unionByName, found), "company_name")
+    return wanted.select("company_name").join(best, "company_name", "left").select(
+        "*", F.lit(latest).cast("bigint").alias("seen_id"), F.lit(tag).alias("rules")
+    )
+
+
+def article_names(open_rows: DataFrame, bronze: DataFrame, all_versions: bool = True) -> DataFrame:
+    """(article_id, company_name) pairs that decide the matches of observations without a company.
+
+    By default every version of an article in ``bronze`` has a say, else only the open rows' own names.
+    """
+    if all_versions:
+        ids = open_rows.select("article_id").distinct()
+        pairs = bronze.join(ids, "article_id", "left_semi").select("article_id", "company_name")
+    else:
+        pairs = open_rows.select("article_id", F.col("company_name_raw").alias("company_name"))
+    return pairs.where("article_id is not null and company_name is not null")
+
+
+def best_of_articles(pairs: DataFrame, best: DataFrame) -> DataFrame:
+    """(article_id, priority, company_id): the best of the candidates that an article's names have."""
+    found = best.where("company_id is not null").select("company_name", "priority", "company_id")
+    return _lowest(pairs.join(found, "company_name"), "article_id")
+
+
+def best_by_article(
+    article_names: DataFrame, companies: DataFrame, rules: AliasRules = _RULES
+) -> DataFrame:
     """(article_id, priority, company_id): the best candidate over all names of an article."""
     named = article_names.where("article_id is not null and company_name is not null")
     pairs = stage(named.select("article_id", "company_name"), "article-names")
-    best = best_by_name(pairs, companies)
-    return (
-        pairs.join(best, "company_name")
-        .groupBy("article_id")
-        .agg(F.min(F.struct("priority", "company_id")).alias("best"))
-        .select("article_id", "best.*")
-    )
+    return best_of_articles(pairs, best_by_name(pairs, companies, rules))
 
 
 def fill_company(rows: DataFrame) -> DataFrame:
