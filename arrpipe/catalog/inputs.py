@@ -58,7 +58,7 @@ from (
 """
 
 COMPANIES = """
-select cast(3 * min(p_partkey) + 1 as int) id, p_name company_name,
+select cast(3 * min(p_partkey) + 1 as bigint) id, p_name company_name,
   case when length(p_name) % 5 = 0 then cast(null as int)
        else cast(1970 + length(p_name) * 3 as int) end founded_year,
   'City '||cast(length(p_name) % 4 as string) headquarters,
@@ -69,12 +69,12 @@ select cast(3 * min(p_partkey) + 1 as int) id, p_name company_name,
   upper(substr(p_name, 1, 4)) stock_ticker
 from {part} group by p_name
 union all
-select cast(3 * s_suppkey + 2 as int), s_name, cast(1980 + s_nationkey as int), n_name,
+select cast(3 * s_suppkey + 2 as bigint), s_name, cast(1980 + s_nationkey as int), n_name,
   cast(floor(abs(s_acctbal) * 5) as int), 'Artificial Intelligence', s_acctbal > 0,
   cast(null as string)
 from {supplier} left join {nation} on n_nationkey = s_nationkey
 union all
-select cast(3 * c_custkey + 3 as int), c_name||' '||c_mktsegment,
+select cast(3 * c_custkey + 3 as bigint), c_name||' '||c_mktsegment,
   cast(1950 + c_nationkey as int), n_name, cast(floor(abs(c_acctbal) * 5) as int),
   case c_mktsegment when 'MACHINERY' then 'Machine Learning' when 'BUILDING' then null
     else lower(c_mktsegment) end,

@@ -143,8 +143,17 @@ def _synonyms(x: str) -> str:
     return f"case {whens} else cast([] as varchar[]) end"
 
 
-def _alias_rows(rows: str, out: str) -> str:
-    """CTE ``out``: (name, aliases) of the names in CTE ``rows``, in order of construction."""
+def _alias_rows(rows: str, out: str, strict: bool = False, listed: bool = False) -> str:
+    """CTE ``out``: (name, aliases) of the names in CTE ``rows``, in order of construction.
+
+    ``strict``: no initials of one letter, no empty aliases. ``listed``: synonyms of a CTE "synonyms".
+    """
+    wanted = "alias <> '' and not (step = 3 and pos = 2 and length(alias) < 2)" if strict else "true"
+    builtin = f"""select name, 4, pos, alias from (
+    select name, unnest(s) alias, generate_subscripts(s, 1) pos
+    from (select distinct name, {_synonyms('name')} s from {out}_parts) y) z"""
+    table = f"""select distinct name, 4, place, synonym from {out}_parts
+    join synonyms s on s.compact = {_compact('name')}"""
     return rf"""{out}_parts as (
   select name, unnest(parts) part, generate_subscripts(parts, 1) pos
   from (select distinct name, string_split_regex(name, '\s*/\s*') parts from {rows}
@@ -152,21 +161,22 @@ def _alias_rows(rows: str, out: str) -> str:
 {out}_rows as (
   select name, 1 step, pos, {_normal('part')} alias from {out}_parts
   union all select name, 2, pos, {_compact('part')} from {out}_parts
-  union all select name, 3, step, alias from (
+  union all select name, 3 step, step pos, alias from (
     select distinct name, unnest([{_compact('name')}, {_initials('name')},
       {_compact(r"regexp_extract(name, '\(([^)]+)\)', 1)")}]) alias, unnest([1, 2, 3]) step
     from {out}_parts) w where alias <> ''
-  union all select name, 4, pos, alias from (
-    select name, unnest(s) alias, generate_subscripts(s, 1) pos
-    from (select distinct name, {_synonyms('name')} s from {out}_parts) y) z),
-{out} as (select name, list(alias order by step, pos) aliases from {out}_rows group by name)"""
+  union all {table if listed else builtin}),
+{out} as (select name, list(alias order by step, pos, alias) aliases from {out}_rows where {wanted} group by name)"""
 
 
 # Names with their keys; every name against every company, all conditions OR-ed.
-_PAIRS = f"""article_names as (select company_name as name from articles),
-{_alias_rows('article_names', 'a_names')},
+def _pairs(strict: bool = False) -> str:
+    filled = " and n.normal <> ''" if strict else ""
+    filled_compact = " and n.compact <> ''" if strict else ""
+    return f"""article_names as (select company_name as name from articles),
+{_alias_rows('article_names', 'a_names', strict)},
 firm_names as (select company_name as name from companies),
-{_alias_rows('firm_names', 'f_names')},
+{_alias_rows('firm_names', 'f_names', strict)},
 names as (
   select name company_name, {_normal('name')} normal, {_compact('name')} compact, aliases
   from a_names),
@@ -175,21 +185,28 @@ firms as (
   from companies join f_names on name = company_name),
 pairs as (
   select * from (
-    select n.company_name, f.id, f.normal = n.aliases[-1] preferred, n.normal = f.normal by_normal,
-      n.compact = f.compact by_compact, list_has_any(n.aliases, f.aliases) by_alias,
+    select n.company_name, f.id, f.normal = n.aliases[-1] preferred, n.normal = f.normal{filled} by_normal,
+      n.compact = f.compact{filled_compact} by_compact, list_has_any(n.aliases, f.aliases) by_alias,
       length(n.compact) >= 4 and length(f.compact) >= 4 and contains(n.compact, f.compact) holds,
       length(n.compact) >= 4 and length(f.compact) >= 4 and contains(f.compact, n.compact) is_held
     from names n join firms f on true) p
   where by_normal or by_compact or by_alias or holds or is_held)"""
-_BEST = f"""{_PAIRS},
+
+
+def _best(pairs: str, rows: str = "articles") -> str:
+    return f"""{pairs},
 best as (
   select article_id, cast(priority as integer) priority, id company_id from (
     select a.article_id, case when p.preferred then 0 else 1 end priority, p.id,
       row_number() over (partition by a.article_id
                          order by case when p.preferred then 0 else 1 end, p.id) rn
-    from articles a join pairs p on p.company_name = a.company_name
+    from {rows} a join pairs p on p.company_name = a.company_name
     where a.article_id is not null) r where rn = 1)"""
 
+
+_PAIRS = _pairs()
+_BEST = _best(_PAIRS)
+
 _OBSERVED = f"""{_PARSED}, typed as (
   select a.*, co.id company_id, case when co.id is not null then 'Exact' end kind,
     cat.id category_id, {_date('a.published_date')} pub, p.currency, p.actual, p."min" low,
@@ -243,7 +260,7 @@ def _fact(rows: str) -> str:
 _ARR = "coalesce(revenue_actual_usd, (revenue_min_usd + revenue_max_usd) / 2) arr_usd"
 _FACT_CTES = f"with {_INPUTS}, {_DIMS}, {_CLASSES}, {_OBSERVED}, fact as ({_fact('observed')})"
 _GOLD_CTES = (
-    f"{_FACT_CTES}, gold as (select * exclude (k), cast(k as integer) observation_id, {_ARR} from fact)"
+    f"{_FACT_CTES}, gold as (select * exclude (k), k observation_id, {_ARR} from fact)"
 )
 _MART = """select g.* from gold g
   where (exists (select 1 from (values ('group', 'AI/ML'), ('name', 'machine learning'), ('name', 'ai/ml'),
@@ -290,9 +307,9 @@ ORACLES: dict[str, str] = {
     "json_ingest_companies": f"with {_INPUTS} select company_name, {_ATTRS} from companies",
     "csv_redelivery": f"""with {_INPUTS}
       select cast(batch_id as integer) delivery, if(batch_id < 3, 'success', 'quarantined') status,
-        count(*) filter (batch_id < 3) n, count(*) filter (batch_id < 3) n_ids,
+        count(*) filter (batch_id < 3) n, count(article_id) filter (batch_id < 3) n_ids,
         count(word_count) filter (batch_id < 3) n_words
-      from articles where article_id is not null group by batch_id""",
+      from articles group by batch_id""",
     "json_schema_gate": f"""with {_INPUTS}
       select case k % 7
         when 0 then '{_ACME}. Missing fields: [''is_public'', ''stock_ticker''].'
@@ -307,6 +324,10 @@ ORACLES: dict[str, str] = {
       select file_name, cast(file_timestamp as date) as day from f where not exists (select 1 from f g
         where g.category in ('AI/ML', 'Cloud') and g.file_name = f.file_name
           and g.file_timestamp = f.file_timestamp)""",
+    "file_ledger_path": f"""with {_INPUTS}, f as (select author||'.csv' file_name, category,
+        '/in/'||cast(k % 4 as varchar)||'/'||author||'.csv' path, k % 3 as day from articles)
+      select path, cast(day as bigint) as day, count(*) n from f where not exists (select 1 from f g
+        where g.category in ('AI/ML', 'Cloud') and g.path = f.path and g.day = f.day) group by all""",
     "file_log": f"""with {_INPUTS} select
         (select cast(max(batch_id) + 1 as integer) from articles) batch_id, url file_name,
         case when word_count = 'many' then 'bad word count' end reason,
@@ -352,11 +373,22 @@ ORACLES: dict[str, str] = {
         cast(case when c.id is null then s.updated_batch_id else b end as integer) updated_batch_id
       from stored s cross join nb left join changed c on c.company_name = s.company_name
       union all
-      select cast((select max(id) from stored) + row_number() over (order by c.company_name) as integer),
+      select cast((select max(id) from stored) + row_number() over (order by c.company_name) as bigint),
         c.company_name, {', '.join(f'c.{a}' for a in _ATTRS.split(', '))}, cast(b as integer), null
       from changed c cross join nb where c.company_name not in (select company_name from stored)""",
+    "upsert_changed": f"""with {_INPUTS}, {_STORED}, delivered as (select * replace (cast(
+          if(coalesce(is_public, true), employee_count + 1, employee_count) as integer) as employee_count) from companies),
+        nb as (select max(greatest(insert_batch_id, coalesce(updated_batch_id, 0))) + 1 b from stored)
+      select s.id, s.company_name, {', '.join(f'd.{a}' for a in _ATTRS.split(', '))}, s.insert_batch_id,
+        cast(case when d.employee_count is distinct from s.employee_count then b
+          else s.updated_batch_id end as integer) updated_batch_id
+      from stored s cross join nb join delivered d on d.company_name = s.company_name
+      union all
+      select cast((select max(id) from stored) + row_number() over (order by d.company_name) as bigint),
+        d.company_name, {', '.join(f'd.{a}' for a in _ATTRS.split(', '))}, cast(b as integer), null
+      from delivered d cross join nb where d.company_name not in (select company_name from stored)""",
     "company_keys": f"""with {_INPUTS}, {_STORED}
-      select cast((select max(id) from stored) + row_number() over (order by company_name) as integer) id,
+      select cast((select max(id) from stored) + row_number() over (order by company_name) as bigint) id,
         company_name, headquarters
       from companies where company_name not in (select company_name from stored)""",
     "company_batch_id": f"""with {_INPUTS}, {_STORED} select count(*) n, cast(max(greatest(
@@ -366,13 +398,21 @@ ORACLES: dict[str, str] = {
     "new_observations": f"""with {_INPUTS} select k, article_id, batch_id from articles b
       where not exists (select 1 from articles s where s.batch_id < 3 and s.category <> 'Gardening'
         and s.article_id = b.article_id and s.batch_id = b.batch_id)""",
+    "new_observations_with_id": f"""with {_INPUTS} select k, article_id, batch_id, cast(null as varchar) reason
+      from articles b where article_id is not null
+        and not exists (select 1 from articles s where s.batch_id < 3 and s.category <> 'Gardening'
+          and s.article_id = b.article_id and s.batch_id = b.batch_id)
+      union all select k, article_id, batch_id, 'article_id is missing' from articles
+      where article_id is null and batch_id > 1""",
+    "scd2_latest_only": f"""with {_INPUTS} select k, article_id, batch_id, title,
+        article_id is null or batch_id = max(batch_id) over (partition by article_id) is_current from articles""",
     "scd2_articles": f"""with {_INPUTS} select k, article_id, batch_id, title,
         batch_id = 2 and not exists (select 1 from articles n where n.batch_id = 3
           and n.article_id = a.article_id) is_current
       from articles a where batch_id < 3
       union all select k, article_id, batch_id, title, true from articles where batch_id = 3""",
     "observation_ids": f"""with {_INPUTS} select cast((select max(batch_id) from articles)
-        + row_number() over (order by article_id nulls last, batch_id, k) as integer) observation_id,
+        + row_number() over (order by article_id nulls last, batch_id, k) as bigint) observation_id,
         k, article_id, batch_id from articles""",
     "word_count_int": _value("word_count", _int("word_count")),
     "published_dates": _value("published_date", _date("published_date")),
@@ -384,6 +424,19 @@ ORACLES: dict[str, str] = {
         when 1 then 'Facebook AI Research' when 2 then 'Azure Inc.' else company_name end name
         from articles)
       select k, array_to_string(list_sort({_synonyms('name')}), '|') as value from named""",
+    "company_synonyms_table": f"""with {_INPUTS}, synonyms as (
+        select {_compact('company_name')} compact, id place, unnest([upper(headquarters), 'HQ '||headquarters]) synonym
+        from companies where industry = 'Artificial Intelligence'),
+      article_names as (select company_name as name from articles),
+      {_alias_rows('article_names', 'named', listed=True)}
+      select k, company_name, aliases[-1] as last_alias,
+        coalesce(array_to_string(list_sort(list_distinct(aliases)), '|'), '') as value
+      from articles left join named on name = company_name""",
+    "company_aliases_strict": f"""with {_INPUTS}, article_names as (select company_name as name from articles),
+        {_alias_rows('article_names', 'named', strict=True)}
+      select k, company_name,
+        coalesce(array_to_string(list_sort(list_distinct(aliases)), '|'), '') as value
+      from articles left join named on name = company_name""",
     "company_aliases": f"""with {_INPUTS}, article_names as (select company_name as name from articles),
         {_alias_rows('article_names', 'named')}
       select k, company_name,
@@ -405,8 +458,13 @@ ORACLES: dict[str, str] = {
       left join (select base_currency, usd_conversion rate from rates union all select 'CHF', 1.25) r
         on base_currency = cur""",
     "revenue_bucket": f"""with {_INPUTS}, {_DIMS}, {_OBSERVED}
-      select cast(k as integer) k, revenue_actual_usd, revenue_min_actual_usd,
+      select k, revenue_actual_usd, revenue_min_actual_usd,
         revenue_max_actual_usd, revenue_range_id from observed""",
+    # A range ends where the next begins.
+    "revenue_bucket_contiguous": f"""with {_INPUTS}, {_DIMS}, {_OBSERVED}
+      select k, revenue_actual_usd, revenue_min_actual_usd, revenue_max_actual_usd,
+        coalesce((select max(range_id) from ranges where range_id <> 0 and min_revenue_usd <= v), 0) revenue_range_id
+      from (select * replace (v / 7 as v) from observed)""",
     "match_exact": f"""with {_INPUTS} select k, a.company_name, c.id company_id,
         case when c.id is not null then 'Exact' end company_match_kind
       from articles a left join companies c on c.company_name = a.company_name""",
@@ -419,6 +477,19 @@ ORACLES: dict[str, str] = {
           case when holds then 'contains' end, case when is_held then 'contained' end]) rule
         from pairs) u where rule is not null group by company_name, rule""",
     "match_best": f"with {_INPUTS}, {_BEST} select * from best",
+    "match_best_strict": f"with {_INPUTS}, {_best(_pairs(strict=True))} select * from best",
+    # Only the newest version of an article, if it has no exact match.
+    "match_current_version": f"""with {_INPUTS}, newest as (select * from articles a
+        where company_name not in (select company_name from companies)
+          and not exists (select 1 from articles n where n.article_id = a.article_id and n.batch_id > a.batch_id)),
+      {_best(_PAIRS, 'newest')} select * from best""",
+    # Three runs of growing inputs, stated as one.
+    "match_incremental": f"""with {_INPUTS}, {_PAIRS}
+      select company_name, cast(b.p as integer) priority, b.id company_id from (
+        select a.company_name, min({{'p': case when p.preferred then 0 else 1 end, 'id': p.id}})
+          filter (p.id is not null) b
+        from (select distinct company_name from articles where company_name is not null) a
+        left join pairs p on p.company_name = a.company_name group by a.company_name) q""",
     "match_applied": f"""with {_INPUTS}, {_BEST}
       select cast(k as integer) k, coalesce(c.id, b.company_id) company_id,
         case when c.id is not null then 'Exact' when b.company_id is not null then 'Fuzzy' end
@@ -426,13 +497,28 @@ ORACLES: dict[str, str] = {
       from articles a left join companies c on c.company_name = a.company_name
       left join best b on b.article_id = a.article_id""",
     "fact_articles": f"""{_FACT_CTES}
-      select * exclude (k), cast(k as integer) observation_id from fact""",
+      select * exclude (k), k observation_id from fact""",
     "gold_arr": f"{_GOLD_CTES} select * from gold",
     "mart_ai_arr_50m": f"{_GOLD_CTES} {_MART}",
     "csv_export_roundtrip": f"{_GOLD_CTES} {_MART}",
+    "run_audit": f"""with {_INPUTS}, {_BEST},
+      unmatched as (select a.* from articles a where a.company_name is null
+        or a.company_name not in (select company_name from companies)),
+      named as (select distinct company_name from articles where company_name is not null
+        and article_id in (select article_id from unmatched)),
+      n as (select (select count(*) from articles) a, (select count(*) from companies) c,
+        (select count(*) from unmatched where article_id in (select article_id from best)) f,
+        (select count(*) from named) m)
+      select unnest(['bronze_articles', 'bronze_company_metadata', 'dim_company', 'dim_company', 'dim_category',
+          'dim_revenue_range', 'dim_date', 'dim_currency_conversion', 'name_matches', 'silver_observations',
+          'silver_observations', 'silver_observations', 'silver_observations', 'silver_articles',
+          'gold_fact_arr_observation']) table_name,
+        unnest(['written', 'written', 'written', 'never_updated', 'written', 'written', 'written', 'written',
+          'written', 'written', 'current', 'inserted', 'matched_fuzzy', 'written', 'written']) counter,
+        unnest([a, c, c, c, 19, 10, 2557, 4, m, a, a, a, f, a, a]) n from n""",
     # Companies arrive in name order; their surrogate keys decide ties between candidates.
     "landing_to_gold": f"""with {_INPUTS.replace('companies as (', 'listed as (')},
-      companies as (select * replace (cast(row_number() over (order by company_name) as integer) as id)
+      companies as (select * replace (cast(row_number() over (order by company_name) as bigint) as id)
         from listed),
       {_DIMS}, {_OBSERVED}, {_BEST},
       latest as (select * from observed o where batch_id = 3 or article_id is null

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases, compact, initials, normal, parse_date, parse_revenue
 from ..functions import register, synonyms, to_int
+from ..functions.names import AliasRules, keys
 from ..operators import gates, ledger, marts, match, money, state
 from ..plans import batch, bronze
 from ..schemas import ARTICLE_COLUMNS, COMPANY_FIELDS, conform, empty
@@ -40,7 +41,7 @@ def _observations(spark: SparkSession, rows: DataFrame, firms: DataFrame) -> Dat
     """Typed, exactly matched, converted and bucketed articles, all current; keyed by k."""
     typed = marts.observations(rows, firms, seeds.categories(spark, AS_OF), AS_OF)
     typed = conform(
-        typed.withColumn("observation_id", F.col("k").cast("int")), "silver_observations"
+        typed.withColumn("observation_id", F.col("k")), "silver_observations"
     )
     return marts.revalue(typed, seeds.currencies(spark), seeds.revenue_ranges(spark), AS_OF)
 
@@ -107,17 +108,22 @@ def _export_companies(df: DataFrame, path: str) -> None:
     objects.write.partitionBy("part").text(path)
 
 
-def _deliver(spark: SparkSession, df: DataFrame, path: str, sep: str) -> None:
-    """Write one CSV file at exactly ``path``, in place of what stands there."""
-    folder = f"{path}.parts"
-    df.coalesce(1).write.mode("overwrite").options(header=True, sep=sep, escape='"').csv(folder)
+def _deliver(spark: SparkSession, df: DataFrame, root: str, sep: str, parts: int) -> None:
+    """Write ``parts`` CSV files, /part=<i>/one.csv below ``root``, in place of what stands there."""
+    folder = f"{root}.parts"
+    part = F.pmod(F.xxhash64("title", "url"), F.lit(parts)).alias("part")
+    df.select("*", part).repartition(parts, "part").write.mode("overwrite").partitionBy("part").options(
+        header=True, sep=sep, escape='"'
+    ).csv(folder)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*"))[0].getPath()
-    fs.delete(target, False)
-    fs.rename(part, target)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+    path_of = jvm.org.apache.hadoop.fs.Path
+    fs = path_of(root).getFileSystem(conf)
+    for written in fs.globStatus(path_of(f"{folder}/part=*/part-*")):
+        target = path_of(f"{root}/{written.getPath().getParent().getName()}/one.csv")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        fs.rename(written.getPath(), target)
+    fs.delete(path_of(folder), True)
 
 
 # -- ingest ----------------------------------------------------------------------------
@@ -159,19 +165,25 @@ def csv_schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def csv_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One path delivered three times: in order, with columns reversed and another separator, without revenue."""
-    root, rows = _scratch(spark), articles(spark, sf_dir).where("article_id is not null")
+    """The same paths delivered three times: in order, with columns reversed and another separator, without revenue.
+
+    Their number follows the rows, a hundred thousand or so a file.
+    """
+    root, rows = _scratch(spark), articles(spark, sf_dir)
+    parts = 2 + rows.count() // 300_000
     outcomes = []
     layouts = [(ARTICLE_COLUMNS, ","), (ARTICLE_COLUMNS[::-1], ";"), ([c for c in ARTICLE_COLUMNS if c != "revenue"], ",")]
     for delivery, (columns, sep) in enumerate(layouts, 1):
-        _deliver(spark, rows.where(F.col("batch_id") == delivery).select(columns), f"{root}/one.csv", sep)
-        files, loaded = bronze.gate_articles(spark, landing.discover(spark, root, "csv"), {"sep": sep})
+        _deliver(spark, rows.where(F.col("batch_id") == delivery).select(columns), f"{root}/in", sep, parts)
+        files, loaded = bronze.gate_articles(spark, landing.discover(spark, f"{root}/in", "csv"), {"sep": sep})
         counted = loaded.agg(
-            F.count("article_id").alias("n"), F.count_if(F.col("article_id").startswith("A")).alias("n_ids"),
+            F.count("title").alias("n"), F.count_if(F.col("article_id").startswith("A")).alias("n_ids"),
             F.count("word_count").alias("n_words"),
         )
         status = F.when(F.col("reason").isNull(), "success").otherwise("quarantined").alias("status")
-        outcomes.append(stage(files.select(F.lit(delivery).alias("delivery"), status).crossJoin(counted), "redelivery"))
+        gated = files.select(status).distinct().select("*", F.lit(delivery).alias("delivery"))
+        counted = counted.withColumn("delivery", F.lit(delivery))
+        outcomes.append(stage(gated.join(counted, "delivery"), "redelivery"))
     return reduce(DataFrame.unionByName, outcomes)
 
 
@@ -222,6 +234,21 @@ def file_ledger_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pending.select("file_name", F.to_date("file_timestamp").alias("day"))
 
 
+@_query
+def file_ledger_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author files of four folders and three days, known by path and time: equal names elsewhere are other files."""
+    delivered = articles(spark, sf_dir).select(
+        F.concat("author", F.lit(".csv")).alias("file_name"),
+        F.concat(F.lit("/in/"), F.col("k") % 4, F.lit("/"), "author", F.lit(".csv")).alias("path"),
+        F.timestamp_seconds((F.col("k") % 3) * 86400).alias("file_timestamp"),
+        "category",
+    )
+    loaded = delivered.where("category in ('AI/ML', 'Cloud')")
+    pending = ledger.pending(delivered.drop("category"), loaded, identity="path")
+    day = F.unix_date(F.to_date("file_timestamp")).cast("bigint").alias("day")
+    return pending.groupBy("path", day).agg(F.count("*").alias("n"))
+
+
 @_query
 def file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log rows with their conditional timestamps; a reason means quarantine."""
@@ -360,6 +387,16 @@ def upsert_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert_companies(dim, delivered, AS_OF).drop("inserted_at", "updated_at")
 
 
+@_query
+def upsert_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All companies delivered, some changed: the others keep their batch id."""
+    rows = companies(spark, sf_dir)
+    more = F.coalesce("is_public", F.lit(True)).cast("int")
+    delivered = _metadata(rows.withColumn("employee_count", F.col("employee_count") + more), "two.json")
+    out = state.upsert_companies(_stored_companies(spark, sf_dir), delivered, AS_OF, only_changed=True)
+    return out.drop("inserted_at", "updated_at")
+
+
 @_query
 def company_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ids, in name order, for companies the dimension lacks."""
@@ -389,6 +426,26 @@ def new_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.new_observations(rows, known).select("k", "article_id", "batch_id")
 
 
+@_query
+def new_observations_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, but rows without an id are kept out, with a reason; batch 1's were before."""
+    rows = articles(spark, sf_dir)
+    known = rows.where("batch_id < 3 and category <> 'Gardening'").withColumnRenamed(
+        "batch_id", "insert_batch_id"
+    )
+    kept_out = state.without_id(rows, rows.where("article_id is null and batch_id = 1"))
+    new = state.new_observations(rows, known, require_id=True).withColumn("reason", F.lit(None).cast("string"))
+    return new.unionByName(kept_out).select("k", "article_id", "batch_id", "reason")
+
+
+@_query
+def scd2_latest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches 2 and 3 arrive in one run: only an article's newest row is current."""
+    rows = articles(spark, sf_dir).select("k", "article_id", "batch_id", "title")
+    stored = rows.where("batch_id < 2").withColumn("is_current", F.lit(True))
+    return state.scd2(stored, rows.where("batch_id > 1"), "article_id", ["batch_id", "k"])
+
+
 @_query
 def scd2_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = articles(spark, sf_dir).select("k", "article_id", "batch_id", "title")
@@ -461,6 +518,26 @@ def company_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_article(spark, sf_dir, "company_name", _sorted_text(aliases("company_name")))
 
 
+@_query
+def company_aliases_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without initials of one letter and without empty aliases."""
+    value = _sorted_text(aliases("company_name", min_initials=2, drop_empty_keys=True))
+    return _per_article(spark, sf_dir, "company_name", value)
+
+
+@_query
+def company_synonyms_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers also go by their nation, two spellings each, from a table of synonyms."""
+    firms = companies(spark, sf_dir).where("industry = 'Artificial Intelligence'")
+    table = firms.select(
+        compact("company_name").alias("compact"), F.col("id").alias("place"),
+        F.explode(F.array(F.upper("headquarters"), F.concat(F.lit("HQ "), "headquarters"))).alias("synonym"),
+    )
+    keyed = keys(articles(spark, sf_dir), "company_name", AliasRules(synonyms=table))
+    value = F.coalesce(_sorted_text(F.col("aliases")), F.lit(""))
+    return keyed.select("k", "company_name", "last_alias", value.alias("value"))
+
+
 @_query
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same functions called by name from SQL."""
@@ -504,6 +581,17 @@ def revenue_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def revenue_bucket_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the amounts, which often falls between two ranges, in ranges that reach up to the next."""
+    rows = _observations(spark, articles(spark, sf_dir), companies(spark, sf_dir))
+    sevenths = {f"_{c}": F.col(c) / 7 for c in _VALUE_COLUMNS}
+    out = money.bucket(rows.withColumns(sevenths), seeds.revenue_ranges(spark), *sevenths, "_range", contiguous=True)
+    return out.select(
+        F.col("observation_id").alias("k"), *_VALUE_COLUMNS, F.col("_range").alias("revenue_range_id")
+    )
+
+
 # -- matching --------------------------------------------------------------------------
 
 
@@ -532,6 +620,33 @@ def match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.best_by_article(articles(spark, sf_dir), companies(spark, sf_dir))
 
 
+@_query
+def match_best_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without initials of one letter and without empty keys."""
+    return match.best_by_article(articles(spark, sf_dir), companies(spark, sf_dir), AliasRules(2, True))
+
+
+@_query
+def match_current_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the newest version of an article decides, if it has no exact match."""
+    rows, firms = articles(spark, sf_dir), companies(spark, sf_dir)
+    newest = match.match_exact(state.newest_only(rows, "article_id", ["batch_id", "k"]), firms)
+    open_rows = newest.where("is_current and company_id is null").withColumnRenamed("company_name", "company_name_raw")
+    return match.best_by_article(match.article_names(open_rows, rows, all_versions=False), firms)
+
+
+@_query
+def match_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs over growing articles and companies; each compares only what the last one hasn't."""
+    rows, firms = articles(spark, sf_dir), companies(spark, sf_dir)
+    last = firms.agg(F.max("id").alias("id")).first()["id"] or 0
+    best = empty(spark, "name_matches")
+    for run in (1, 2, 3):
+        names, known = rows.where(F.col("batch_id") <= run), firms.where(F.col("id") <= last * run / 3)
+        best = stage(match.update_best(names, known, best), "name-matches")
+    return best.select("company_name", "priority", "company_id")
+
+
 @_query
 def match_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without an exact match take the best candidate of their article."""
@@ -573,6 +688,17 @@ def csv_export_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.read_csv(spark, path, mart)
 
 
+@_query
+def run_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one batch over all articles and companies wrote, as the batch itself counted it."""
+    root = _scratch(spark)
+    _export_companies(companies(spark, sf_dir), f"{root}/in/companies")
+    _export_articles(articles(spark, sf_dir), f"{root}/in/articles", ARTICLE_COLUMNS)
+    tables = batch.run(spark, f"{root}/in", f"{root}/tables", as_of=AS_OF, suffixes=("csv", "txt"))
+    counts = tables.appended("run_audit").where("table_name <> 'bronze_file_log'")
+    return counts.select("table_name", "counter", "n")
+
+
 @_query
 def landing_to_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two whole batches from landing files to the gold table: versions 1 and 2, then 3."""

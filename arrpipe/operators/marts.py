@@ -63,7 +63,7 @@ def observations(
 
 
 def revalue(
-    rows: DataFrame, rates: DataFrame, ranges: DataFrame, as_of: dt.datetime
+    rows: DataFrame, rates: DataFrame, ranges: DataFrame, as_of: dt.datetime, contiguous: bool = False
 ) -> DataFrame:
     """USD amounts and range of current rows at today's rates and ranges.
 
@@ -71,7 +71,7 @@ def revalue(
     """
     current = F.col("is_current")
     new = {source: f"_{name}" for source, name in _USD.items()}
-    out = bucket(to_usd(rows, rates, new), ranges, *new.values(), "_range_id")
+    out = bucket(to_usd(rows, rates, new), ranges, *new.values(), "_range_id", contiguous)
     values = {name: F.col(f"_{name}") for name in _USD.values()}
     values |= {
         "revenue_range_id": F.col("_range_id"), "updated_at": F.lit(as_of).cast("timestamp")

@@ -27,14 +27,48 @@ def to_usd(
     return out.select(*kept, *(value.alias(name) for name, value in usd.items()))
 
 
+def contiguous_bounds(ranges: DataFrame) -> Column:
+    """The ranges as one sorted array of (lower bound, range id), each open up to the next lower bound.
+
+    Of ranges with one lower bound the first by order counts. Range 0 stands for unknown and has no bound. One
+    row per range is collected: the dimension is a handful of rows. A scalar subquery.
+    """
+    lower = ranges.where("range_id <> 0 and min_revenue_usd is not null").groupBy(
+        F.col("min_revenue_usd").alias("lower")
+    ).agg(F.min_by("range_id", F.struct("range_order", "range_id")).alias("range_id"))
+    return lower.agg(F.sort_array(F.collect_list(F.struct("lower", "range_id"))).alias("bounds")).scalar()
+
+
+def _place(bounds: str, value: str) -> str:
+    """How many lower bounds are at most ``value``, by halving; SQL text.
+
+    Twenty halvings serve 2^20 ranges; the width is the constant, not the number of ranges.
+    """
+    step = (
+        f"(s, i) -> if(s.lo >= s.hi, s, if({bounds}[cast(floor((s.lo + s.hi) / 2) as int)].lower <= {value}, "
+        "named_struct('lo', cast(floor((s.lo + s.hi) / 2) as int) + 1, 'hi', s.hi), "
+        "named_struct('lo', s.lo, 'hi', cast(floor((s.lo + s.hi) / 2) as int))))"
+    )
+    return f"aggregate(sequence(1, 20), named_struct('lo', 0, 'hi', size({bounds})), {step}, s -> s.lo)"
+
+
 def bucket(
-    df: DataFrame, ranges: DataFrame, actual: str, low: str, high: str, out: str
+    df: DataFrame, ranges: DataFrame, actual: str, low: str, high: str, out: str, contiguous: bool = False
 ) -> DataFrame:
     """Add the range of the exact amount, else of the midpoint of low and high, else 0.
 
+    With ``contiguous`` a range reaches up to the next one's lower bound, so no amount from the lowest bound up falls
+    between two; it is found by binary search in the sorted lower bounds.
+
     The first range by order with min <= v <= max wins; 0 stands for unknown. The
     ranges become one array constant (a scalar subquery), so no join is needed.
     """
+    if contiguous:
+        value = F.coalesce(actual, (F.col(low) + F.col(high)) / 2)
+        placed = df.withColumns({"_bounds": contiguous_bounds(ranges), "_value": value})
+        at = F.expr(_place("_bounds", "_value"))
+        found = F.when(F.col("_value").isNotNull(), F.get("_bounds", at - 1)["range_id"])
+        return placed.withColumn(out, F.coalesce(found, F.lit(0))).drop("_bounds", "_value")
     table = (
         ranges.where("range_id <> 0")
         .agg(

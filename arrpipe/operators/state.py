@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,14 +54,14 @@ def dense_ids(
     return (
         fixed.withColumn("_part", partition)
         .join(F.broadcast(offsets), "_part")
-        .withColumn(id_column, (after + F.col("_n") + index + 1).cast("int"))
+        .withColumn(id_column, (after + F.col("_n") + index + 1).cast("bigint"))
         .select(id_column, *rows.columns)
     )
 
 
 def max_id(df: DataFrame, column: str) -> Column:
     """The greatest id, 0 for no rows; a scalar subquery."""
-    return df.agg(F.coalesce(F.max(column), F.lit(0)).alias("id")).scalar()
+    return df.agg(F.coalesce(F.max(column), F.lit(0)).cast("bigint").alias("id")).scalar()
 
 
 def _key_sums(df: DataFrame) -> DataFrame:
@@ -73,9 +74,14 @@ def _key_sums(df: DataFrame) -> DataFrame:
     )
 
 
-def new_observations(bronze: DataFrame, silver: DataFrame) -> DataFrame:
+NO_ARTICLE_ID = "article_id is missing"
+
+
+def new_observations(bronze: DataFrame, silver: DataFrame, require_id: bool = False) -> DataFrame:
     """Bronze rows whose (article_id, batch_id) silver lacks; a NULL never counts as present.
 
+    With ``require_id`` rows without an article id are left out; ``without_id`` has them.
+
     Nearly always that is the newest batch and the rows without an id, which plain
     filters find: the files of old batches are then skipped by their statistics. An old
     batch can hold more only if its ids and silver's differ, which one aggregate over
@@ -91,13 +97,37 @@ def new_observations(bronze: DataFrame, silver: DataFrame) -> DataFrame:
     missing = old.join(differing, "batch_id", "left_semi").where("article_id is not null").join(
         present, ["article_id", "batch_id"], "left_anti"
     )
+    ahead = bronze.where(F.col("batch_id") > newest)
+    if require_id:
+        return ahead.where("article_id is not null").unionByName(missing.select(bronze.columns))
     return (
-        bronze.where(F.col("batch_id") > newest)
-        .unionByName(old.where("article_id is null"))
+        ahead.unionByName(old.where("article_id is null"))
         .unionByName(missing.select(bronze.columns))
     )
 
 
+def without_id(bronze: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """Bronze rows without an article id, with a reason, of batches after those that ``quarantine`` holds."""
+    done = max_id(quarantine, "batch_id")
+    return bronze.where(F.col("article_id").isNull() & (F.col("batch_id") > done)).withColumn(
+        "reason", F.lit(NO_ARTICLE_ID)
+    )
+
+
+def newest_only(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Flag ``is_current``: of the rows with one key, those greatest by ``order``; every row without a key.
+
+    End ``order`` with a column unique per row to get exactly one. Only the key and the order are shuffled and
+    aggregated, so a key that many rows share costs one narrow row per task.
+    """
+    greatest = (
+        batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("_newest"))
+    )
+    flag = F.col(key).isNull() | F.struct(*order).eqNullSafe(F.col("_newest"))
+    columns = [c for c in batch.columns if c != "is_current"]
+    return batch.join(greatest, key, "left").select(*columns, flag.alias("is_current"))
+
+
 def expire(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """Current rows whose key is in ``batch`` stop being current; other rows stay as they are."""
     hit = batch.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_hit", F.lit(True))
@@ -108,15 +138,20 @@ def expire(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     )
 
 
-def scd2(state: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """``expire``, then append the batch; all its rows become current."""
-    current = batch.withColumn("is_current", F.lit(True)).select(state.columns)
-    return expire(state, batch, key).unionByName(current)
+def scd2(state: DataFrame, batch: DataFrame, key: str, latest_only: list[str] | None = None) -> DataFrame:
+    """``expire``, then append the batch; all its rows become current.
+
+    With ``latest_only``, only a key's row that is greatest by these columns does.
+    """
+    flagged = newest_only(batch, key, latest_only) if latest_only else batch.withColumn("is_current", F.lit(True))
+    return expire(state, batch, key).unionByName(flagged.select(state.columns))
 
 
 def scd2_and_match(state: DataFrame, batch: DataFrame, best: DataFrame) -> DataFrame:
     """``scd2`` by article_id and ``match.apply_best`` in one join of the wide rows.
 
+    The batch's rows are current as their own ``is_current`` says.
+
     Both act on article_id, so their narrow sides are joined first. The wide side then
     takes part in a single join, which adaptive execution can split at a hot article_id.
     """
@@ -127,11 +162,10 @@ def scd2_and_match(state: DataFrame, batch: DataFrame, best: DataFrame) -> DataF
     rows = (
         state.withColumn("_new", F.lit(False))
         .unionByName(
-            batch.withColumn("is_current", F.lit(True)).select(state.columns)
-            .withColumn("_new", F.lit(True))
+            batch.select(state.columns).withColumn("_new", F.lit(True))
         )
         .join(changes, "article_id", "left")
-        .withColumn("is_current", F.col("_new") | (F.col("is_current") & F.col("_hit").isNull()))
+        .withColumn("is_current", F.col("is_current") & (F.col("_new") | F.col("_hit").isNull()))
     )
     return fill_company(rows).select(state.columns)
 
@@ -146,12 +180,13 @@ def scd2_by_file(state: DataFrame, batch: DataFrame, key: str, file_order: str)
 
 
 def upsert_companies(
-    dim: DataFrame, metadata: DataFrame, as_of: dt.datetime
+    dim: DataFrame, metadata: DataFrame, as_of: dt.datetime, only_changed: bool = False
 ) -> DataFrame:
     """Merge current company metadata into the dimension by name.
 
     Every matched row takes the new values and the next company batch id, changed
-    or not; new names get dense ids in name order; no row is deleted.
+    or not; new names get dense ids in name order; no row is deleted. With ``only_changed``
+    a matched row whose values, NULLs included, are those it has keeps its batch id and time.
     """
     batch_id = next_batch_id(dim, "insert_batch_id", "updated_batch_id")
     now = F.lit(as_of).cast("timestamp")
@@ -160,6 +195,9 @@ def upsert_companies(
         source.withColumn("_hit", F.lit(True)).alias("s"), "company_name", "left"
     )
     hit = F.col("_hit").isNotNull()
+    if only_changed:
+        same = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in COMPANY_FIELDS]
+        hit = hit & ~reduce(Column.__and__, same)
     kept = matched.select(
         "d.id",
         "company_name",

@@ -5,11 +5,14 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import marts, match, state
 from ..schemas import conform
 from ..sources import seeds
+from ..sources.staging import stage
 from ..sources.tables import Tables
+from .options import Options
 
 
 def seed_dimensions(spark: SparkSession, tables: Tables, as_of: dt.datetime) -> None:
@@ -28,14 +31,17 @@ def seed_dimensions(spark: SparkSession, tables: Tables, as_of: dt.datetime) ->
     tables.replace("dim_currency_conversion", seeds.insert_missing(known, dollar, "base_currency"))
 
 
-def run_silver(spark: SparkSession, tables: Tables, as_of: dt.datetime) -> None:
+def run_silver(
+    spark: SparkSession, tables: Tables, as_of: dt.datetime, options: Options = Options()
+) -> None:
     draft = tables.draft()
     seed_dimensions(spark, tables, as_of)
     tables.replace(
         "dim_company",
         state.upsert_companies(
-            tables.latest("dim_company"), draft.current("bronze_company_metadata"), as_of
+            tables.latest("dim_company"), draft.current("bronze_company_metadata"), as_of, options.only_changed
         ),
+        {"never_updated": F.count_if(F.col("updated_batch_id").isNull())},
     )
     companies = draft.latest("dim_company")
     categories, ranges = draft.latest("dim_category"), draft.latest("dim_revenue_range")
@@ -43,21 +49,38 @@ def run_silver(spark: SparkSession, tables: Tables, as_of: dt.datetime) -> None:
     bronze = draft.appended("bronze_articles", row_id="_row")
     known = tables.current_and_history("silver_observations")
     current = tables.current("silver_observations")
+    if options.require_id:
+        tables.append("silver_quarantine", state.without_id(bronze, tables.appended("silver_quarantine")))
+    before = known.agg(F.coalesce(F.max("observation_id"), F.lit(0)).alias("id")).first()["id"]
     run = state.dense_ids(
-        state.new_observations(bronze, known),
+        state.new_observations(bronze, known, options.require_id),
         ["article_id", "batch_id"],
         "observation_id",
-        state.max_id(known, "observation_id"),
+        F.lit(before),
         spread=["_row"],
     )
     batch = conform(marts.observations(run, companies, categories, as_of), "silver_observations")
-    unmatched = (
-        current.unionByName(batch).where("company_id is null").select("article_id").distinct()
-    )
-    best = match.best_by_article(bronze.join(unmatched, "article_id", "left_semi"), companies)
-    rows = state.scd2_and_match(current, batch, best)
+    if options.latest_only:
+        batch = state.newest_only(batch, "article_id", ["insert_batch_id", "observation_id"])
+    # Of the current rows, those that the batch leaves current.
+    arrived = batch.where("article_id is not null").select("article_id").distinct()
+    still_open = current.where("company_id is null").join(arrived, "article_id", "left_anti")
+    open_rows = still_open.unionByName(batch.where("is_current and company_id is null"))
+    names = stage(match.article_names(open_rows, bronze, options.all_versions), "article-names")
+    best = match.update_best(names, companies, tables.latest("name_matches"), options.aliases)
+    tables.replace("name_matches", best)
+    found = match.best_of_articles(names, draft.latest("name_matches"))
+    rows = state.scd2_and_match(current, batch, found)
     rates = draft.latest("dim_currency_conversion")
-    tables.replace_current("silver_observations", marts.revalue(rows, rates, ranges, as_of))
+    tables.replace_current(
+        "silver_observations",
+        marts.revalue(rows, rates, ranges, as_of, options.contiguous),
+        {
+            "current": F.count_if("is_current"),
+            "inserted": F.count_if(F.col("observation_id") > before),
+            "matched_fuzzy": F.count_if(F.col("is_current") & (F.col("company_match_kind") == "Fuzzy")),
+        },
+    )
     tables.replace(
         "silver_articles",
         marts.fact_articles(

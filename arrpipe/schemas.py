@@ -15,7 +15,7 @@ COMPANY_FIELDS = [
 ]
 
 _TYPES = {
-    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
     "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType(),
 }
 
@@ -32,8 +32,9 @@ COMPANY_VALUE = _struct(
 )
 
 _COMPANY = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in COMPANY_VALUE.fields)
+# The names and types of the tables' columns.
 _FACT = (
-    "observation_id int, article_id string, title string, category_group string, "
+    "observation_id bigint, article_id string, title string, category_group string, "
     "category_name string, company_matched string, company_name string, revenue_min_usd double, "
     "revenue_max_usd double, revenue_actual_usd double, revenue_range_order int, "
     "revenue_range_name string, industry string, founded_year int, company_age int, "
@@ -48,7 +49,7 @@ _COLUMNS = {
     + ", file_name string, file_timestamp timestamp, insert_datetime timestamp, is_current boolean",
     "bronze_file_log": "batch_id int, file_name string, file_timestamp timestamp, reason string, "
     "status string, quarantined_at timestamp, processed_at timestamp, alert_processed string, path string",
-    "dim_company": f"id int, company_name string, {_COMPANY}"
+    "dim_company": f"id bigint, company_name string, {_COMPANY}"
     + ", insert_batch_id int, updated_batch_id int, inserted_at timestamp, updated_at timestamp",
     "dim_category": "id int, name string, category_group string, insert_datetime timestamp",
     "dim_revenue_range": "range_id int, min_revenue_usd double, max_revenue_usd double, "
@@ -56,7 +57,7 @@ _COLUMNS = {
     "dim_date": "date_id int, date date, year int, month int, day int, quarter_no int",
     "dim_currency_conversion": "id int, base_currency string, usd_conversion double, "
     "is_current boolean",
-    "silver_observations": "observation_id int, article_id string, title string, company_id int, "
+    "silver_observations": "observation_id bigint, article_id string, title string, company_id bigint, "
     "company_match_kind string, company_name_raw string, published_date_as_source string, "
     "published_date date, category_id int, revenue_as_source string, revenue_currency string, "
     "revenue_actual double, revenue_actual_usd double, revenue_min double, "
@@ -64,6 +65,10 @@ _COLUMNS = {
     "revenue_range_id int, summary string, url string, author string, word_count int, "
     "insert_batch_id int, updated_batch_id int, inserted_at timestamp, updated_at timestamp, "
     "is_current boolean",
+    "silver_quarantine": ", ".join(f"{c} string" for c in ARTICLE_COLUMNS)
+    + ", file_name string, file_timestamp timestamp, batch_id int, reason string",
+    "name_matches": "company_name string, priority int, company_id bigint, seen_id bigint, rules string",
+    "run_audit": "table_name string, counter string, n bigint, recorded_at timestamp",
     "silver_articles": _FACT,
     "gold_fact_arr_observation": f"{_FACT}, arr_usd double, gold_loaded_at timestamp",
 }
