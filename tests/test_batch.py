@@ -8,6 +8,9 @@ import pytest
 
 from arrpipe.plans import bronze, gold, silver
 from arrpipe.plans.batch import run
+from arrpipe.plans.options import Options
+from arrpipe.functions.names import AliasRules
+from arrpipe.operators import match
 from arrpipe.schemas import ARTICLE_COLUMNS
 from arrpipe.sources import landing
 from arrpipe.sources.tables import Tables
@@ -229,3 +232,65 @@ def test_superseded_snapshots_are_deleted(spark, tmp_path):
     assert older.latest("silver_articles").count() > 0 and older.current("silver_observations").count() > 0
     with pytest.raises(ValueError):
         older.retire(0)
+
+
+def audit_of(tables, day):
+    return {(r["table_name"], r["counter"]): r["n"]
+            for r in tables.appended("run_audit").collect() if r["recorded_at"] == day}
+
+
+def test_audit_and_incremental_matches(spark, tmp_path):
+    """Runs count what they write; matches over several runs equal matching all at once."""
+    source, root = tmp_path / "in", str(tmp_path / "tables")
+    names = ["Acme", "Initech (US)", "Umbrella Labs", "Hooli", "Zzz", "Vandelay Ltd"]
+    arrivals = [{"Acme": FIRM}, {"Initech": FIRM}, {"Umbrella": FIRM, "Hooli Inc.": {**FIRM, "founded_year": 2001}}]
+    for day, firms in enumerate(arrivals):
+        put_csv(source / f"{day}.csv", ARTICLE_COLUMNS,
+                *({"article_id": str(i), "company_name": n} for i, n in enumerate(names) if i % 3 >= day))
+        (source / f"{day}.json").write_text(json.dumps(firms))
+        tables = run(spark, str(source), root, as_of=DAY[day])
+        observed = tables.current("silver_observations")
+        audit = audit_of(tables, DAY[day])
+        assert audit["silver_observations", "current"] == observed.count() == 6
+        assert audit["silver_observations", "inserted"] == (6, 4, 2)[day]
+        assert audit["silver_observations", "matched_fuzzy"] == observed.where("company_match_kind = 'Fuzzy'").count()
+        assert audit["dim_company", "written"] == tables.latest("dim_company").count() == (1, 2, 4)[day]
+        assert audit["dim_company", "never_updated"] == tables.latest("dim_company").where("updated_batch_id is null").count()
+        assert audit["silver_articles", "written"] == audit["gold_fact_arr_observation", "written"] == 6
+        assert audit["bronze_file_log", "written"] == 2
+        firms_now = tables.latest("dim_company")
+        full = {r["company_name"]: r["company_id"] for r in match.best_by_name(tables.appended("bronze_articles"), firms_now).collect()}
+        exact = {r["company_name"]: r["id"] for r in firms_now.collect()}
+        got = {r["company_name_raw"]: r["company_id"] for r in observed.collect()}
+        assert got == {n: exact.get(n, full.get(n)) for n in names}
+    assert {n for n, c in got.items() if c is None} == {"Zzz", "Vandelay Ltd"}
+
+
+def test_options(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "tables")
+    options = Options(AliasRules(2, True), all_versions=False, only_changed=True, latest_only=True, require_id=True, contiguous=True)
+    (source).mkdir()
+    (source / "m.json").write_text(json.dumps({"Acme": FIRM, "Globex": FIRM}))
+    put_csv(source / "a.csv", ARTICLE_COLUMNS, {"article_id": "1", "title": "old"}, {"article_id": "1", "company_name": "Amber"},
+            {"article_id": "", "title": "nameless"}, {"article_id": "2", "revenue": "$10000.5", "company_name": "\u516c\u53f8"})
+    run(spark, str(source), root, as_of=DAY[0], options=options)
+    (source / "n.json").write_text(json.dumps({"Acme": FIRM, "Globex": {**FIRM, "founded_year": 2002}}))
+    tables = run(spark, str(source), root, as_of=DAY[1], options=options)
+    rows = {(r["article_id"], r["is_current"]): r for r in tables.current_and_history("silver_observations").collect()}
+    assert set(rows) == {("1", True), ("1", False), ("2", True)}
+    assert rows["2", True]["revenue_range_id"] == 1 and rows["2", True]["company_id"] is None
+    kept_out = tables.appended("silver_quarantine").collect()
+    assert [(r["title"], r["reason"]) for r in kept_out] == [("nameless", "article_id is missing")]
+    assert {r["company_name"]: r["updated_batch_id"] for r in tables.latest("dim_company").collect()} == {"Acme": None, "Globex": 2}
+
+
+def test_old_spellings_in_the_log_are_repaired(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "tables")
+    put_csv(source / "a.csv", ARTICLE_COLUMNS, {})
+    (source / "m.json").write_text(json.dumps({"Acme": FIRM}))
+    tables = run(spark, str(source), root, as_of=DAY[0])
+    log = f"{root}/bronze_file_log/version=1"
+    old = spark.read.schema(tables.appended("bronze_file_log").schema).parquet(log).collect()
+    rows = [dict(r.asDict(), alert_processed=flag) for r, flag in zip(old, [None, "F"])]
+    spark.createDataFrame(rows, tables.appended("bronze_file_log").schema).write.mode("overwrite").parquet(log)
+    assert [r["alert_processed"] for r in run(spark, str(source), root, as_of=DAY[1]).appended("bronze_file_log").collect()] == ["N", "N"]

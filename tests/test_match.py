@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from arrpipe.catalog import oracles
 from arrpipe.operators import match
+from arrpipe.schemas import SCHEMAS, empty
+from arrpipe.sources.staging import stage
 
 WORDS = ["acme", "ai", "a", "b", "bolt", "中文", "公司", "meta", "lab", "x-ray", "co", "&", "azure",
          "facebook", "ring", "tech", "technology", "Ltd", "Inc.", "labs", "group", "r&d"]
@@ -108,3 +110,82 @@ def test_hot_name_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_two_long_names_take_linear_rows(spark):
+    """Names of 5,000 characters, one inside the other: a few rows per position, whatever the lengths."""
+    rng = random.Random(5)
+    inner = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(4990))
+    outer = "start" + inner + "finis"
+    hay = spark.createDataFrame([("long", outer)], "company_name string, hay string")
+    needles = spark.createDataFrame([(inner,)] + [(outer[i:i + 600 + i],) for i in range(0, 800, 8)], "needle string")
+    pieces = match._pieces(hay, needles)
+    assert pieces.count() < 5 * len(outer)
+    found = {r["piece"] for r in pieces.collect()}
+    assert {r["needle"] for r in needles.collect()} <= found
+    names = spark.createDataFrame([(outer,)], "company_name string")
+    firms = spark.createDataFrame([(3, inner), (4, outer[:200]), (5, outer + "x")], "id int, company_name string")
+    got = {(r["rule"], r["company_id"]) for r in match.candidates(names, firms).collect()}
+    assert ("contains", 3) in got and ("contained", 5) in got
+
+
+def test_lengths_at_the_edges_of_classes(spark):
+    """Needles of 3 to 130 characters at every place of a haystack, against plain search."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("ab") for _ in range(200))
+    lengths = [3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 66, 67, 127, 128, 129]
+    wanted = {text[at:at + n] for n in lengths for at in (0, 1, 50, 200 - n)} | {"b" * 40, text + "a"}
+    hay = spark.createDataFrame([("x", text)], "company_name string, hay string")
+    needles = spark.createDataFrame([(w,) for w in sorted(wanted)], "needle string")
+    pieces = {r["piece"] for r in match._pieces(hay, needles).collect()}
+    assert {w for w in wanted if len(w) >= 4 and w in text} <= pieces
+    assert all(p in text for p in pieces)
+
+
+def rows_by_name(df):
+    return {r["company_name"]: (r["priority"], r["company_id"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("rules", [match.AliasRules(), match.AliasRules(2, True)])
+def test_three_runs_equal_full_matching(spark, rules):
+    rng = random.Random(11)
+    texts = sorted({random_name(rng) for _ in range(150)})
+    firms = sorted({random_name(rng) for _ in range(90)})
+    rng.shuffle(texts)
+    rng.shuffle(firms)
+    named = spark.createDataFrame(list(enumerate(texts)), "i int, company_name string")
+    listed = spark.createDataFrame(list(enumerate(firms, 1)), "id bigint, company_name string")
+    kept = empty(spark, "name_matches")
+    # The third run doesn't ask for every name of the second; the fourth asks for some of them again.
+    for (low, high), upto in (((0, 60), 30), ((0, 110), 60), ((50, 150), 60), ((0, 150), 90)):
+        names, known = named.where(f"i >= {low} and i < {high}"), listed.where(f"id <= {upto}")
+        kept = stage(match.update_best(names, known, kept, rules), "kept")
+        full = rows_by_name(match.best_by_name(names, known, rules))
+        asked = {t for i, t in enumerate(texts) if low <= i < high}
+        assert rows_by_name(kept) == {t: full.get(t, (None, None)) for t in asked}
+
+
+def test_kept_names_meet_new_companies_only(spark):
+    """A planted best candidate stays, as its name isn't compared again; other rules compare it anew."""
+    names = spark.createDataFrame([("Acme",), ("Bolt",), (None,), ("Acme",)], "company_name string")
+    firms = spark.createDataFrame([(1, "Acme"), (2, "Bolt"), (8, "Acme Inc.")], "id bigint, company_name string")
+    tag = match.AliasRules().tag()
+    kept = spark.createDataFrame([("Acme", 2, 5, 8, tag)], SCHEMAS["name_matches"])
+    assert rows_by_name(match.update_best(names, firms, kept)) == {"Acme": (2, 5), "Bolt": (1, 2)}
+    # Seen up to 2: only company 8 is new to it.
+    behind = kept.withColumn("seen_id", F.lit(2).cast("bigint"))
+    assert rows_by_name(match.update_best(names, firms, behind))["Acme"] == (1, 8)
+    assert rows_by_name(match.update_best(names, firms, kept, match.AliasRules(2)))["Acme"] == (0, 1)
+    nothing = match.update_best(names.limit(0), firms.limit(0), kept)
+    assert nothing.count() == 0
+
+
+def test_rules_are_told_apart(spark):
+    table = spark.createDataFrame([("acme", 1, "roadrunner"), ("acme", 2, "coyote")], "compact string, place int, synonym string")
+    rules = [match.AliasRules(), match.AliasRules(2), match.AliasRules(1, True), match.AliasRules(synonyms=table),
+             match.AliasRules(synonyms=table.limit(1)), match.AliasRules(synonyms=table.limit(0))]
+    assert len({r.tag() for r in rules}) == len(rules)
+    firms = spark.createDataFrame([(1, "Coyote"), (2, "Zed")], "id bigint, company_name string")
+    names = spark.createDataFrame([("ACME Ltd",)], "company_name string")
+    assert rows_by_name(match.best_by_name(names, firms, match.AliasRules(2, synonyms=table))) == {"ACME Ltd": (0, 1)}
+    assert rows_by_name(match.best_by_name(names, firms, match.AliasRules(2))) == {}

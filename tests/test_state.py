@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from arrpipe.operators import ledger, match, state
+from arrpipe.operators import ledger, match, money, state
 from arrpipe.schemas import empty
 from arrpipe.sources import seeds
 from arrpipe.sources.staging import checkpoint_dir
@@ -45,6 +45,13 @@ def test_dense_ids_spread_a_hot_key(spark):
     assert out.columns == ["i", "a", "b", "row"]
 
 
+def test_dense_ids_above_32_bits(spark):
+    rows = spark.range(10).select(F.col("id").cast("string").alias("a"))
+    out = state.dense_ids(rows, ["a"], "i", F.lit(2**31 + 5))
+    assert dict(out.dtypes)["i"] == "bigint"
+    assert sorted(r["i"] for r in out.collect()) == list(range(2**31 + 6, 2**31 + 16))
+
+
 def test_dense_ids_of_nothing(spark):
     assert state.dense_ids(empty(spark, "dim_company"), ["company_name"], "id", F.lit(0)).count() == 0
 
@@ -165,3 +172,45 @@ def test_repair(spark):
 def test_checkpoint_folder_comes_from_the_session(spark):
     named = spark.sparkContext.getCheckpointDir()
     assert checkpoint_dir(spark) == (named or spark.sparkContext.getCheckpointDir())
+
+
+def test_newest_only(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, 1), ("a", 2, 2), ("a", 2, 3), ("b", 1, 4), (None, 1, 5), (None, 1, 6), ("c", None, 7), ("c", None, 8)],
+        "k string, b int, id int",
+    )
+    current = state.newest_only(rows, "k", ["b", "id"]).where("is_current")
+    assert sorted(r["id"] for r in current.collect()) == [3, 4, 5, 6, 8]
+    # Ties on the whole order stay together.
+    assert state.newest_only(rows, "k", ["b"]).where("is_current and k = 'a'").count() == 2
+    assert state.newest_only(rows.limit(0), "k", ["b"]).count() == 0
+
+
+def test_only_changed_keeps_the_batch(spark):
+    stored = companies(spark, [("a", 1), ("b", None), ("c", 3)]).withColumn("is_current", F.lit(True))
+    dim = state.upsert_companies(empty(spark, "dim_company"), stored, AS_OF)
+    later = companies(spark, [("a", 1), ("b", None), ("c", None), ("d", 4)]).withColumn("is_current", F.lit(True))
+    out = {r["company_name"]: r for r in state.upsert_companies(dim, later, AS_OF, only_changed=True).collect()}
+    assert {n: r["updated_batch_id"] for n, r in out.items()} == {"a": None, "b": None, "c": 2, "d": None}
+    assert out["a"]["updated_at"] is None and out["c"]["founded_year"] is None and out["d"]["insert_batch_id"] == 2
+
+
+@pytest.mark.parametrize("n_ranges", [1, 2, 9, 100])
+def test_contiguous_ranges(spark, n_ranges):
+    """Binary search against a plain walk over the sorted bounds."""
+    ranges = spark.createDataFrame(
+        [(0, 0.0, 0.0, "?", 0)] + [(i, i * 10.0 + 1, i * 10.0 + 10, str(i), i) for i in range(1, n_ranges + 1)],
+        "range_id int, min_revenue_usd double, max_revenue_usd double, range_name string, range_order int",
+    )
+    values = [None, -5.0, 0.0, 10.9, 11.0, 20.5, 21.0, 500.5, 1e12, float("inf")]
+    rows = spark.createDataFrame([(v, None, None) for v in values] + [(None, 20.0, 21.0)], "a double, l double, h double")
+    got = [r["out"] for r in money.bucket(rows, ranges, "a", "l", "h", "out", contiguous=True).collect()]
+
+    def walk(v):
+        return max((i for i in range(1, n_ranges + 1) if v is not None and i * 10.0 + 1 <= v), default=0)
+
+    assert got == [walk(v) for v in [*values, 20.5]]
+    assert got[5] == 1
+    assert money.bucket(rows, ranges, "a", "l", "h", "out").collect()[5]["out"] == 0
+    none = money.bucket(rows, ranges.limit(0), "a", "l", "h", "out", contiguous=True)
+    assert {r["out"] for r in none.collect()} == {0}
