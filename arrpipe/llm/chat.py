@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -100,17 +101,24 @@ def _format(shared, loss_roles: tuple[str, ...], part_chars: int):
 
         def encoded() -> pa.RecordBatch:
             rendered = [render(turns, loss_roles) for _, _, _, turns in done]
-            out = {name: [] for name in _SCHEMA.names}
-            for (conv, part, last, _), (text, spans), e in zip(
-                done, rendered, tokenizer.encode_batch([t for t, _ in rendered], add_special_tokens=False), strict=True
-            ):
-                offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-                starts, ends = offsets[:, 0], offsets[:, 1]
-                row = (conv, part, last, text, e.ids, starts, ends, loss_mask(starts, ends, spans))
-                for name, value in zip(_SCHEMA.names, row, strict=True):
-                    out[name].append(value)
+            found = tokenizer.encode_batch([t for t, _ in rendered], add_special_tokens=False)
+            counts = np.array([len(e) for e in found])
+            edges = np.cumsum(np.concatenate([[0], counts]))
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, edges[-1])
+            pairs = chain.from_iterable(chain.from_iterable(e.offsets for e in found))
+            offsets = np.fromiter(pairs, np.int32, 2 * edges[-1]).reshape(-1, 2)
+            starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
+            mask = np.zeros(len(ids), dtype=bool)
+            for a, b, (_, spans) in zip(edges[:-1].tolist(), edges[1:].tolist(), rendered, strict=True):
+                mask[a:b] = loss_mask(starts[a:b], ends[a:b], spans)
+            columns = [*list(zip(*done, strict=True))[:3], [t for t, _ in rendered]]
             done.clear()
-            return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
+            kinds = _SCHEMA.types
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+                + [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(v)) for v in (ids, starts, ends, mask)],
+                schema=_SCHEMA,
+            )
 
         none = object()
         current, part, turns, chars, held = none, 0, [], 0, 0
@@ -149,32 +157,37 @@ def formatted(conversations: DataFrame, tokenizer: str, loss_roles=LOSS_ROLES, p
     return ordered.select("conv_id", "role", "text").mapInArrow(_format(definition, tuple(loss_roles), part_chars), _DDL)
 
 
-def masked_text(text: str, starts, ends, loss) -> str:
-    """What stands under the mask, unescaped; tokens that share a character count it once."""
-    out, begin, end = [], 0, 0
-    for a, b, keep in zip(starts, ends, loss, strict=True):
-        if not keep:
-            continue
-        if a > end:
-            out.append(text[begin:end])
-            begin, end = a, b
-        else:
-            begin = a if begin == end else begin
-            end = max(end, b)
-    out.append(text[begin:end])
-    return "".join(unescape(x) for x in out)
+def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> str:
+    """What stands under the mask, unescaped; tokens that share a character count it once.
+
+    Tokens under the mask are sorted by start; one that starts beyond all ends before it opens a run.
+    """
+    a, b = starts[loss], ends[loss]
+    if not len(a):
+        return ""
+    reach = np.maximum.accumulate(b)
+    opens = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+    closes = np.concatenate([opens[1:], [len(a)]]) - 1
+    return "".join(unescape(text[i:j]) for i, j in zip(a[opens].tolist(), reach[closes].tolist(), strict=True))
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls, and where its lists start and end."""
+    return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turns_sha, loss_sha, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
     for batch in batches:
         out = []
-        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-        for conv, _, last, text, _, starts, ends, loss in zip(*columns, strict=True):
+        columns = [batch.column(i).to_pylist() for i in range(3)]
+        (starts, edges), (ends, _), (loss, _) = (_lists(batch.column(i)) for i in range(3, 6))
+        for i, (conv, last, text) in enumerate(zip(*columns, strict=True)):
             for role, said in parse(text):
                 turns_sha.update(f"{role}\n{said}\n".encode())
                 n_turns += 1
-            under = masked_text(text, starts, ends, loss)
+            own = slice(edges[i], edges[i + 1])
+            under = masked_text(text, starts[own], ends[own], loss[own])
             loss_sha.update(under.encode())
             loss_chars += len(under)
             chars += len(text)
@@ -197,6 +210,6 @@ _DIGEST = pa.schema(
 
 def digests(output: DataFrame) -> DataFrame:
     """Per conversation what ``formatted`` says, read back from its texts, offsets and masks."""
-    return output.mapInArrow(
+    return output.select("conv_id", "last", "text", "starts", "ends", "loss").mapInArrow(
         _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )

@@ -2,12 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from arrpipe.llm import chat
-from arrpipe.llm.queries import tokenizer_file
+from arrpipe.llm.queries import QUERIES, tokenizer_file
 
 TOKENIZER = tokenizer_file("byte_bpe_50k.json")
 
@@ -55,6 +56,26 @@ def test_digests(spark, part_chars):
     assert len(whole) == found[3].formatted_chars
 
 
+def test_query_on_the_whole_table(spark):
+    """The registered query against digests of the input by plain Python."""
+    sf_dir = "/root/testdata/sf0.01"
+    said, groups = "</s>[INST] ok [/INST]", {}
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for c, _, r, x in sorted([*rows, (-1, 0, "user", said), (-1, 1, "assistant", said)], key=lambda z: (z[0], -1 if z[1] is None else z[1], z[2] or "", z[3] or "")):
+        groups.setdefault(c, []).append((r or "", x or ""))
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in QUERIES["op7_chat_format"](spark, sf_dir).collect()}
+    assert found == {c: digest(turns) for c, turns in groups.items()}
+
+
+def test_masked_runs():
+    """Tokens that share a character, and runs that do or don't touch."""
+    starts, ends = np.array([0, 1, 1, 1, 2, 4, 6]), np.array([1, 2, 2, 2, 4, 6, 7])
+    for bits in range(2**7):
+        loss = np.array([bits >> i & 1 for i in range(7)], dtype=bool)
+        under = {i for a, b, keep in zip(starts, ends, loss, strict=True) if keep for i in range(a, b)}
+        assert chat.masked_text("abcdefg", starts, ends, loss) == "".join("abcdefg"[i] for i in sorted(under))
+
+
 def test_tokens_cover_the_text_and_masks_follow_spans(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi  you"), (1, 1, "assistant", "well, été \U0001f600!")], "conv_id long, turn long, role string, text string")
     r = chat.formatted(df, TOKENIZER).first()
