@@ -8,7 +8,8 @@ weights are pulled towards their mean magnitude (interpolation), as the method p
 The model is fitted on at most ``fit_rows`` labelled rows, those with the least hash of
 their id; the bound is what keeps the sample's ids small enough to broadcast, so texts aren't shuffled. The
 sample is split into groups of ``group_rows`` expected rows; each group is a task that fits its own model, and
-the weights are averaged. Scoring reads every whole text once and needs the 1 MB weight vector only.
+the weights are averaged. Rows of a group are visited in an order that follows their ids and features, and groups are
+added up by number, so neither the input's partitions nor a task that runs again change the model. Scoring reads every whole text once and needs the 1 MB weight vector only.
 
 Defined results: null and empty texts have no features and get the score of the intercept alone; labels other
 than 0 and 1 are ignored; of several labels for an id the mean counts, 0.5 being ignored; without labels
@@ -136,14 +137,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Colum
     def extract(batches):
         features = Features(bits)
         for pdf in batches:
-            yield pd.DataFrame({"g": pdf["g"], "y": pdf["y"], "ids": [features.of(t) for t in pdf["text"]]})
+            ids = [features.of(t) for t in pdf["text"]]
+            yield pd.DataFrame({"g": pdf["g"], "id": pdf["_id"], "y": pdf["y"], "ids": ids})
 
     # At most fit_rows pairs of numbers: under 1 MB to broadcast.
     rows = stage(
         docs.select(F.col("doc_id").cast("long").alias("_doc"), "text")
         .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-        .select("text", "y", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(groups)).cast("int").alias("g"))
-        .mapInPandas(extract, "g int, y int, ids array<int>"),
+        .select("text", "_id", "y", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(groups)).cast("int").alias("g"))
+        .mapInPandas(extract, "g int, id long, y int, ids array<int>"),
         "quality-rows",
     )
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -170,15 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Colum
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         r = shared.value
-        ids = [np.asarray(x, dtype=np.int64) for x in pdf["ids"]]
-        w, b = descend(ids, [_vector(x, r) for x in ids], pdf["y"].to_numpy(dtype=float), size)
+        order = sorted(range(len(pdf)), key=lambda i: (pdf["id"][i], pdf["ids"][i].tobytes()))
+        ids = [pdf["ids"][i].astype(np.int64) for i in order]
+        w, b = descend(ids, [_vector(x, r) for x in ids], pdf["y"].to_numpy(dtype=float)[order], size)
         mean = float(np.abs(w).mean())
         pulled = w + (1 - _BETA) / _BETA * mean  # (1 - beta) * mean + beta * w, in the scale of w
-        return pd.DataFrame({"n": [len(pdf)], "w": [pulled.astype(np.float32).tobytes()], "b": [b]})
+        return pd.DataFrame({"g": [pdf["g"][0]], "n": [len(pdf)], "w": [pulled.astype(np.float32).tobytes()], "b": [b]})
 
     weights, intercept = np.zeros(size), 0.0
     total = sum(shares.values())
-    for r in rows.groupBy("g").applyInPandas(solve, "n long, w binary, b double").toLocalIterator():
+    # One vector of 1 MB a group, fit_rows / group_rows of them.
+    solved = rows.groupBy("g").applyInPandas(solve, "g int, n long, w binary, b double").collect()
+    for r in sorted(solved, key=lambda r: r["g"]):
         weights += np.frombuffer(r["w"], np.float32) * (r["n"] / total)
         intercept += r["b"] * r["n"] / total
     return Model(weights.astype(np.float32), ratio.astype(np.float32), intercept)
