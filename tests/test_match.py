@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from arrpipe.catalog import oracles
+from arrpipe.catalog import oracles, queries
 from arrpipe.operators import match
 from arrpipe.schemas import SCHEMAS, empty
 from arrpipe.sources.staging import stage
@@ -189,3 +189,32 @@ def test_rules_are_told_apart(spark):
     names = spark.createDataFrame([("ACME Ltd",)], "company_name string")
     assert rows_by_name(match.best_by_name(names, firms, match.AliasRules(2, synonyms=table))) == {"ACME Ltd": (0, 1)}
     assert rows_by_name(match.best_by_name(names, firms, match.AliasRules(2))) == {}
+
+
+def test_companies_of_one_name_are_keyed_once(spark, monkeypatch):
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(match, "stage", kept)
+    firms = spark.range(1, 201).select("id", F.concat(F.lit("Acme "), (F.col("id") % 4).cast("string")).alias("company_name"))
+    names = spark.createDataFrame([("acme 0",), ("Acme 1 Inc.",), ("nobody",)], "company_name string")
+    best = {r["company_name"]: r["company_id"] for r in match.best_by_name(names, firms).collect()}
+    assert (best["acme 0"], best["Acme 1 Inc."]) == (4, 1)
+    assert sorted(r["id"] for r in staged["firms"].collect()) == [1, 2, 3, 4]
+
+
+def test_incremental_query_derives_its_inputs_once(spark, monkeypatch):
+    read = []
+
+    def spied(names, companies, kept, *rules):
+        read.extend(names.inputFiles() + companies.inputFiles())
+        return names.select("company_name").limit(0).withColumns(
+            {c: F.lit(None).cast(t) for c, t in (("priority", "int"), ("company_id", "bigint"), ("seen_id", "bigint"), ("rules", "string"))}
+        )
+
+    monkeypatch.setattr(match, "update_best", spied)
+    queries.QUERIES["match_incremental"](spark, "/root/testdata/sf0.001")
+    assert read and not [path for path in read if "/root/testdata" in path]
