@@ -10,9 +10,9 @@ from arrpipe.plans import bronze, gold, silver
 from arrpipe.plans.batch import run
 from arrpipe.plans.options import Options
 from arrpipe.functions.names import AliasRules
-from arrpipe.operators import match
+from arrpipe.operators import marts, match
 from arrpipe.schemas import ARTICLE_COLUMNS
-from arrpipe.sources import landing
+from arrpipe.sources import landing, seeds
 from arrpipe.sources.tables import Tables
 
 DAY = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
@@ -294,3 +294,23 @@ def test_old_spellings_in_the_log_are_repaired(spark, tmp_path):
     rows = [dict(r.asDict(), alert_processed=flag) for r, flag in zip(old, [None, "F"])]
     spark.createDataFrame(rows, tables.appended("bronze_file_log").schema).write.mode("overwrite").parquet(log)
     assert [r["alert_processed"] for r in run(spark, str(source), root, as_of=DAY[1]).appended("bronze_file_log").collect()] == ["N", "N"]
+
+
+def test_texts_are_parsed_once_per_article(spark):
+    """Below the join with the companies, as companies that share a name repeat the article."""
+    articles = spark.createDataFrame([tuple(BASE.values()) + (1,)], ", ".join(f"{c} string" for c in BASE) + ", batch_id int")
+    firms = spark.createDataFrame([(1, "Acme"), (2, "Acme")], "id bigint, company_name string")
+    rows = marts.observations(articles, firms, seeds.categories(spark, DAY[0]), DAY[0])
+    assert sorted(r["company_id"] for r in rows.collect()) == [1, 2]
+    assert {(r["revenue_actual"], r["published_date"], r["word_count"]) for r in rows.collect()} == {(60e6, dt.date(2023, 5, 1), 12)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed = next(i for i, line in enumerate(plan) if "_rev" in line and "AS" in line and "regexp_extract" in line)
+    assert parsed > max(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+
+
+def test_company_files_are_parsed_once(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"Acme": FIRM}))
+    _, rows = bronze.gate_companies(spark, landing.discover(spark, str(tmp_path), "json"))
+    assert [r["company_name"] for r in rows.collect()] == ["Acme"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Relation" in line and line.rstrip().endswith(" text")]
