@@ -216,13 +216,15 @@ def doc_key() -> Column:
 
 
 def occurrences(hits: DataFrame, windows: DataFrame) -> DataFrame:
-    """Verified: key, item_id, start and length of every window occurrence."""
-    # Rarity over all documents, of the items' tokens.
-    flat = (
+    """Staged and verified: key, item_id, start and length of every window occurrence."""
+    # Read three times: staged, so that repeated rows are dropped once and no plan holds all the steps.
+    flat = stage(
         hits.where(F.size("hits") > 0).dropDuplicates(["key"])
-        .select("key", "n_words", F.explode("hits").alias("hit")).select("key", "n_words", "hit.token", "hit.at")
+        .select("key", "n_words", F.explode("hits").alias("hit")).select("key", "n_words", "hit.token", "hit.at"),
+        "token-places",
     )
-    rarity = stage(flat.groupBy("token").agg(F.count("*").alias("n")), "token-rarity")
+    # Rarity over all documents, of the items' tokens.
+    rarity = flat.groupBy("token").agg(F.count("*").alias("n"))
     wanted = windows.select("window", "length", "tokens").distinct()
     # The prefix: the rarest token; a window with a token that no document has can't occur.
     prefix = (
@@ -235,24 +237,25 @@ def occurrences(hits: DataFrame, windows: DataFrame) -> DataFrame:
         .select("window", "length", "parts", F.col("rarest.token").alias("token"), F.col("rarest.offset").alias("offset"))
     )
     start = F.col("at") - F.col("offset")
-    candidates = (
+    candidates = stage(
         flat.join(prefix, "token")
         .withColumn("start", start)
         .where((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
-        .select("key", "start", "window", "length", "parts")
+        .select("key", "start", "window", "length", "parts"),
+        "window-candidates",
     )
-    # Verification: all tokens of the window stand at their places.
+    # Verification: all tokens of the window stand at their places. Places and candidates are distinct, so rows are counted.
     needed = wanted.select("window", F.explode("tokens").alias("t")).select("window", "t.token", F.col("t.at").alias("offset"))
     expected = candidates.join(needed, "window").select(
         "key", "start", "window", "length", "parts", "token", (F.col("start") + F.col("offset")).alias("at")
     )
     verified = (
         expected.join(flat.select("key", "token", "at"), ["key", "token", "at"])
-        .groupBy("key", "start", "window", "length", "parts").agg(F.countDistinct("at").alias("held"))
+        .groupBy("key", "start", "window", "length", "parts").agg(F.count("*").alias("held"))
         .where("held = parts")
     )
     owners = windows.select("window", "item_id").distinct()
-    return verified.join(owners, "window").select("key", "item_id", "start", "length")
+    return stage(verified.join(owners, "window").select("key", "item_id", "start", "length"), "window-places")
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,8 @@ def _reach(ranked: DataFrame) -> DataFrame:
         # The first bin that doesn't fit: all below is taken.
         .where("before + words > room")
     )
-    edge = bins.groupBy("source").agg(F.min(F.struct("bin", "before")).alias("e")).select("source", "e.bin", "e.before")
+    # Read twice, and a row per source.
+    edge = stage(bins.groupBy("source").agg(F.min(F.struct("bin", "before")).alias("e")).select("source", "e.bin", "e.before"), "mix-edges")
     # Only one bin of 4096 per source meets in a window.
     other = edge.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), "before")
     position = F.struct(F.col("q"), F.col("id"))
@@ -117,14 +118,16 @@ def _filled(sizes: DataFrame, cuts: DataFrame) -> DataFrame:
         judged = _decide(_same(sizes, cuts.where("p > 0 and stop is not null")), F.col("size"))
         open_ = _gaps(judged).where(F.col("gap") > F.col("all_room") * _OPEN).select("source", "gap")
         behind = F.struct(F.col("q"), id_key().alias("id")) > F.col("stop")
-        left = (
+        # Read by all that follows, which would judge all documents each time.
+        left = stage(
             _same(judged.where(~F.col("extra") & behind & (F.col("size") > 0)).select("source", "doc_id", "size", "q"), open_)
             .where("size <= gap / 2")
-            .withColumn("room", F.col("gap"))
+            .withColumn("room", F.col("gap")),
+            "mix-left",
         )
-        usable = stage(left.groupBy("source").agg(F.first("gap").alias("gap")), "mix-open")
-        if usable.isEmpty():
+        if left.isEmpty():
             return cuts
+        usable = left.groupBy("source").agg(F.first("gap").alias("gap"))
         reached = _reach(left).select("source", F.col("stop").alias("next"))
         rounds = _same(usable, reached, "left")
         more = F.array(F.struct((F.col("gap") / 2).alias("most"), F.col("stop").alias("after"), F.col("next").alias("before")))

@@ -223,10 +223,11 @@ def points_of(cells: DataFrame, shards: int) -> DataFrame:
     # Groups above a shard's target: fewer than there are shards.
     large = F.broadcast(groups.where(F.col("gw") > total / shards).select(F.col("g").alias("lg")))
     part = F.when(F.col("lg").isNotNull(), F.col("b")).otherwise(-1)
-    merged = (
+    merged = stage(
         cells.join(large, F.col("g") == F.col("lg"), "left")
         .groupBy("g", part.alias("part"))
-        .agg(F.sum("w").alias("w"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in ("source", "lang", "id")])
+        .agg(F.sum("w").alias("w"), F.min("size").alias("size"), *[F.min(c).alias(c) for c in ("source", "lang", "id")]),
+        "shard-merged",
     )
     values = merged.select(F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("lang", "source")]))).distinct()
     ranks = dense_ids(values, ["kind", "value"], "rank", F.lit(0))

@@ -1,5 +1,6 @@
 """The pipeline's stages, one by one and as a run."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from arrpipe.llm import decontaminate
+from arrpipe.llm import decontaminate, mix, shards
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -38,3 +39,25 @@ def test_stage_edges(spark, stage):
     if stage is not corpus_pipeline.sharded_documents:
         assert out.columns == docs.columns
     assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("module", "stage"), [(decontaminate, corpus_pipeline.clean_documents), (mix, corpus_pipeline.mixed_documents), (shards, corpus_pipeline.sharded_documents)],
+    ids=["decontamination", "mix", "shards"],
+)
+def test_no_plan_holds_many_steps(spark, monkeypatch, capsys, module, stage):
+    """The driver plans a query again after each of its exchanges, so its memory follows the largest plan."""
+    exchanges = []
+
+    def planned(df):
+        capsys.readouterr()
+        df.explain()
+        exchanges.append(len(re.findall(r"Exchange ", capsys.readouterr().out)))
+
+    def staged(df, name, as_before=module.stage):
+        planned(df)
+        return as_before(df, name)
+
+    monkeypatch.setattr(module, "stage", staged)
+    planned(stage(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR))
+    assert max(exchanges) <= 10, exchanges
